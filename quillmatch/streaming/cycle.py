@@ -18,13 +18,13 @@ def once(stream: DataFrame, key: str = "id", time: str | None = None, delay: str
 
 def daily(stream: DataFrame, time: str = "ts", kind: str = "event_type", late: str = "1 day") -> DataFrame:
     """(day, kind, n) by event time; days are final when the watermark has passed them."""
-    per = stream.withWatermark(time, late).groupBy(F.window(time, "1 day").alias("w"), kind).agg(F.count("*").alias("n"))
+    per = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, "1 day").alias("w"), kind).agg(F.count("*").alias("n"))
     return per.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), kind, "n")
 
 
-def cycle(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
+def cycle(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None, mode: str = "append") -> StreamingQuery:
     """Runs work on each batch of new rows: all there is now, or for ever at an interval. Work gets the batch's number, so it can be idempotent."""
-    writer = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.outputMode(mode).foreachBatch(work).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
