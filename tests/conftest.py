@@ -48,7 +48,7 @@ def rows_of(frame) -> list[tuple]:
     """Rows of a pandas frame in a form that two engines share."""
 
     def one(v):
-        if v is None or v != v or str(v) in ("<NA>", "NaT"):
+        if v is None or str(v) in ("<NA>", "NaT") or v != v:
             return "null"
         if isinstance(v, bool) or type(v).__name__ == "bool_":
             return str(bool(v))
