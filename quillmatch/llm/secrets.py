@@ -40,14 +40,14 @@ def windows(s: str, size: int = WINDOW) -> Iterator[float]:
     counts: dict[str, int] = {}
     total = 0.0
     for i, c in enumerate(s):
-        n = counts.get(c, 0)
-        total += _NLOGN[n + 1] - _NLOGN[n]
-        counts[c] = n + 1
-        if i >= size:
+        if i >= size:  # first out, then in, so no count passes the window's size
             d = s[i - size]
             n = counts[d]
             total += _NLOGN[n - 1] - _NLOGN[n]
             counts[d] = n - 1
+        n = counts.get(c, 0)
+        total += _NLOGN[n + 1] - _NLOGN[n]
+        counts[c] = n + 1
         if i >= size - 1:
             yield log2(size) - total / size
 
