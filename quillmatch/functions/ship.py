@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a folder of this machine only if Spark itself is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quillmatch-')}"
         spark.sparkContext.setCheckpointDir(found)
