@@ -26,27 +26,20 @@ class DigestIndex:
     """
 
     def __init__(self, spark: SparkSession, name: str, path: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.name, self.path, self.buckets = spark, name, path, buckets
-        if path and not spark.catalog.tableExists(name):
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-                spark.sql(f"CREATE TABLE {name} (text_sha256 STRING, keep_id BIGINT) USING parquet CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {buckets} BUCKETS LOCATION '{path}'")
+        self.spark, self.name, self.buckets = spark, name, buckets
+        at = f" LOCATION '{path}'" if path else ""
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (text_sha256 STRING, keep_id BIGINT) USING parquet CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {buckets} BUCKETS{at}")
 
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
 
     def unseen(self, new: DataFrame) -> DataFrame:
         """Rows of new, one for each digest, whose digest is not in the index."""
-        if not self.exists():
-            return new
-        seen = self.spark.table(self.name).select("text_sha256")
-        return new.join(seen.hint("merge"), "text_sha256", "left_anti")
+        return new.join(self.table().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
 
     def append(self, fresh: DataFrame) -> None:
         """Adds (text_sha256, keep_id); each bucket is written by one task, so a batch adds one file to a bucket."""
-        out = fresh.select("text_sha256", F.col("keep_id").cast("long").alias("keep_id")).repartition(self.buckets, "text_sha256")
-        out = out.write.bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").mode("append")
-        (out.option("path", self.path) if self.path else out).saveAsTable(self.name)
+        fresh.select("text_sha256", F.col("keep_id").cast("long").alias("keep_id")).repartition(self.buckets, "text_sha256").write.insertInto(self.name)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
@@ -69,13 +62,10 @@ def deduplicate(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", tex
     rows = scratch.keep(rows, "rows")
     best = F.min(F.struct((-F.col("size")).alias("less"), F.col("id").isNull().alias("no_id"), "id", "_row_hash")).alias("best")
     groups = scratch.keep(rows.groupBy("text_sha256").agg(best, F.count("*").alias("group_size")).select("text_sha256", "group_size", F.col("best.id").alias("keep_id"), F.col("best._row_hash").alias("keep_hash")), "groups")
-    if index.exists():
-        known = docs.sparkSession.table(index.name).select("text_sha256", F.col("keep_id").alias("had_id"), F.lit(True).alias("had"))
-        fresh = index.unseen(groups)
-        old = groups.join(known.hint("merge"), "text_sha256").select("text_sha256", "group_size", F.col("had_id").alias("keep_id"), F.lit(None).cast("long").alias("keep_hash"), F.lit(False).alias("fresh"))
-        told = scratch.keep(fresh.withColumn("fresh", F.lit(True)).unionByName(old), "told")
-    else:
-        told = groups.withColumn("fresh", F.lit(True))
+    known = index.table().select("text_sha256", F.col("keep_id").alias("had_id"))
+    fresh = index.unseen(groups).withColumn("fresh", F.lit(True))
+    old = groups.join(known.hint("merge"), "text_sha256").select("text_sha256", "group_size", F.col("had_id").alias("keep_id"), F.lit(None).cast("long").alias("keep_hash"), F.lit(False).alias("fresh"))
+    told = scratch.keep(fresh.unionByName(old), "told")
     index.append(told.where("fresh"))
     paired = rows.join(told, "text_sha256")
     kept = F.col("fresh") & F.col("id").eqNullSafe(F.col("keep_id")) & F.col("_row_hash").eqNullSafe(F.col("keep_hash"))
