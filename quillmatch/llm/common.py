@@ -6,14 +6,15 @@ them too.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmatch.functions.ship import shared_dir, ship
+
+__all__ = ["BLANKS", "WORD", "Scratch", "same_row", "shared_dir", "ship", "table", "with_row_hash", "without_rows", "word_count"]
+
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,34 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once for each application; they may be on other machines."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    name = Path(tempfile.mkdtemp(prefix="quillmatch-")) / f"{top.name}.zip"
-    with zipfile.ZipFile(name, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f"{top.name}/{f.relative_to(top)}")
-    sc.addPyFile(str(name))
-    _shipped.add(sc.applicationId)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of this machine only if Spark itself is local."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='quillmatch-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 class Scratch:
     """Intermediate tables as Parquet in the shared folder, which survive the loss of executors.
 

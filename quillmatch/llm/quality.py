@@ -109,20 +109,37 @@ RULES = (
 )
 
 
-def ordered(rules: Sequence[Rule], texts: Sequence[str]) -> list[Rule]:
-    """Rules by rejection per cost, highest first, each tried on every text by itself; ties keep the given order."""
-    worth = []
+def measured(rules: Sequence[Rule], texts: Sequence[str]) -> list[tuple[float, int]]:
+    """Seconds and rejections of each rule, tried on every text by itself."""
+    out = []
     for rule in rules:
         fresh = [Text(t) for t in texts]
         began = time.perf_counter()
         n = sum(rule.rejects(t) for t in fresh)
-        worth.append(n / max(time.perf_counter() - began, 1e-9))
+        out.append((time.perf_counter() - began, n))
+    return out
+
+
+def by_worth(rules: Sequence[Rule], found: Sequence[tuple[float, int]]) -> list[Rule]:
+    """Rules by rejection per cost, highest first; ties keep the given order."""
+    worth = [n / max(seconds, 1e-9) for seconds, n in found]
     return [rules[i] for i in sorted(range(len(rules)), key=lambda i: -worth[i])]
 
 
-def sample(docs: DataFrame, text: str, rows: int = SAMPLE_ROWS) -> list[str]:
-    """Texts of at most ``rows`` rows, from the first files."""
-    return [r[0] or "" for r in docs.select(text).limit(rows).collect()]
+def ordered(rules: Sequence[Rule], docs: DataFrame, text: str, rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """Rules by rejection per cost on at most ``rows`` rows of the first files; a worker tries them, and the texts stay there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [(0.0, 0)] * len(rules)
+        for b in batches:
+            found = measured(rules, [t.as_py() or "" for t in b.column(0)])
+            total = [(s + x, n + y) for (s, n), (x, y) in zip(total, found, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int32()), pa.array([x[0] for x in total], pa.float64()), pa.array([x[1] for x in total], pa.int64())], names=["rule", "seconds", "n"])
+
+    total = [(0.0, 0)] * len(rules)
+    for r in docs.select(text).limit(rows).mapInArrow(run, "rule int, seconds double, n long").collect():
+        total[r.rule] = (total[r.rule][0] + r.seconds, total[r.rule][1] + r.n)
+    return by_worth(rules, total)
 
 
 def failing(text: Text, rules: Sequence[Rule]) -> str | None:
@@ -140,7 +157,7 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", base: Se
     so the default base rejects them. Repeated rows give repeated rows; other columns are ignored.
     """
     ship(docs.sparkSession)
-    cascade = ordered(rules, sample(docs, text, sample_rows))
+    cascade = ordered(rules, docs, text, sample_rows)
     rows = docs.select(doc_id, text)
     kind = rows.schema[doc_id].dataType.simpleString()
 
@@ -161,7 +178,7 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", base: Se
 def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = (*BASE, *RULES), sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of docs that no rule rejects, with all their columns; each text is tried until a rule rejects it."""
     ship(docs.sparkSession)
-    cascade = ordered(rules, sample(docs, text, sample_rows))
+    cascade = ordered(rules, docs, text, sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -148,7 +148,7 @@ def test_secret_query_against_plain_patterns(spark):
 
 def test_order_of_rules_changes_no_verdict(spark):
     slow = quality.Rule("slow", lambda t: sum(range(20_000)) < 0)
-    order = [r.name for r in quality.ordered([slow, *quality.RULES], ["%%% a b " * 40] * 5)]
+    order = [r.name for r in quality.ordered([slow, *quality.RULES], frame(spark, [(i, "%%% a b " * 40) for i in range(5)]), "text")]
     assert order[0] == "symbols" and order.index("slow") > 0
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     a = {(r.doc_id, r.kept) for r in quality.judged(docs).collect()}
