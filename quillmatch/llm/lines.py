@@ -67,7 +67,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", te
 
     windows = scratch.keep(rows.mapInArrow(run, f"`{doc_id}` {kind}, _row_hash long, digest binary, a int, z int"), "windows")
     first = windows.groupBy("digest").agg(F.min(F.struct(doc_id, "_row_hash", "a", "z")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = windows.join(scratch.keep(first, "first"), "digest")
+    met = windows.join(scratch.keep(first, "first").hint("merge"), "digest")
     here = met[doc_id].eqNullSafe(F.col(f"first.`{doc_id}`")) & F.col("_row_hash").eqNullSafe(F.col("first._row_hash"))
     start = F.when(here, F.greatest("a", F.col("first.z") + 1)).otherwise(F.col("a"))
     later = met.where(~(here & (F.col("a") == F.col("first.a")))).select(doc_id, "_row_hash", start.alias("a"), "z").where("a <= z")
@@ -78,12 +78,12 @@ def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str =
     """docs with cleaned texts and the columns _n_lines and _n_removed.
 
     A text of fewer than k lines with words stays as it is, as does one whose lines do not repeat. Null stays null. A text whose
-    lines all repeat becomes empty.
+    lines all repeat becomes empty. Spans are about as many as documents with repeats, so they are never broadcast, at any size.
     """
     scratch = Scratch(docs.sparkSession)
     spans = scratch.keep(repeated_spans(docs, scratch, doc_id, text, k), "spans")
     keyed = with_row_hash(docs, text=text)
-    joined = keyed.join(spans, same_row(keyed, spans, [doc_id, "_row_hash"]), "left").select(*(keyed[c] for c in docs.columns), spans["spans"].alias("_spans"))
+    joined = keyed.join(spans.hint("merge"), same_row(keyed, spans, [doc_id, "_row_hash"]), "left").select(*(keyed[c] for c in docs.columns), spans["spans"].alias("_spans"))
     out = docs.withColumn("_n_lines", F.lit(0).cast("long")).withColumn("_n_removed", F.lit(0).cast("long")).schema
     at = docs.columns.index(text)
 
