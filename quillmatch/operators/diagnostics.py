@@ -90,11 +90,12 @@ def stale_embeddings(faculty: DataFrame, version: int) -> DataFrame:
     return faculty.agg(F.count_if(F.col("embedding").isNull() | (F.coalesce("embedding_version", F.lit(0)) != version)).alias("stale"), F.count("*").alias("total"))
 
 
+# How a run's log says its numbers.
 METRICS = {
-    "faculty": r"(\d+) faculty",
-    "new_grants": r"(\d+) new grant",
-    "matches": r"(\d+) matches? found",
-    "suppressed": r"(\d+) suppressed",
+    "total_faculty_processed": r"(?i)Processing (\d+) faculty",
+    "total_grants_scraped": r"(?i)Scraped (\d+) grants?",
+    "total_matches_raw": r"(?i)(\d+) raw matches?",
+    "total_matches_after_filter": r"(?i)(\d+) matches? after filter",
 }
 
 
@@ -105,17 +106,23 @@ def log_metrics(lines: DataFrame, metrics: dict[str, str] = METRICS) -> DataFram
     return found.groupBy("metric").agg(F.max_by("v", "line_no").cast("long").alias("value"))
 
 
-def drop_reasons(lines: DataFrame, pattern: str = r"(?:drop|skip)\w*[^:]*:\s*(.+)$") -> DataFrame:
-    found = lines.select(F.trim(F.regexp_extract(F.col("value"), f"(?i){pattern}", 1)).alias("reason")).where("reason <> ''")
-    return found.groupBy("reason").agg(F.count("*").alias("n"))
+def drop_reasons(lines: DataFrame) -> DataFrame:
+    """What lines give as reasons for drops; a line that tells of a threshold counts as below_threshold too."""
+    told = F.trim(F.regexp_extract("value", r"(?i)dropped.*?:\s+(.+)", 1))
+    reasons = F.array(F.when(told != "", told), F.when(F.rlike("value", F.lit(r"(?i)below.*?threshold")), F.lit("below_threshold")))
+    return lines.select(F.explode(reasons).alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def filter_logs(lines: DataFrame, level: str = "", module: str = "", search: str = "", most: int = 200) -> DataFrame:
-    """The last lines of a level, module and substring."""
+def error_lines(lines: DataFrame) -> DataFrame:
+    return lines.where(F.rlike("value", F.lit("(?i)(error|exception|failed)")))
+
+
+def filter_logs(lines: DataFrame, level: str = "all", module: str = "all", search: str = "", most: int = 200) -> DataFrame:
+    """The last lines of a module with a substring; level errors takes errors and warnings."""
     out = lines
-    if level:
-        out = out.where(F.contains("value", F.lit(f"[{level.upper()}]")))
-    if module:
+    if level == "errors":
+        out = out.where(F.contains("value", F.lit("[ERROR]")) | F.contains("value", F.lit("[WARNING]")))
+    if module != "all":
         out = out.where(F.contains("value", F.lit(f"] {module}:")))
     if search:
         out = out.where(F.contains(F.lower("value"), F.lit(search.lower())))
@@ -126,14 +133,14 @@ def log_modules(lines: DataFrame) -> DataFrame:
     return lines.select(F.regexp_extract("value", r"\[\w+\]\s+([\w.]+):", 1).alias("module")).where("module <> ''").distinct()
 
 
-def pass_status(lines: DataFrame, passes: int = 8) -> DataFrame:
-    """(pass, status) by the last line that has ``Pass k/`` or ``Pass k:``; pending if none has."""
+def pass_status(lines: DataFrame, passes: int = 7) -> DataFrame:
+    """(pass, status) by the last line that has ``Pass k/`` or ``Pass k:``; unknown if none has."""
     v = F.lower("value")
     hit = lines.select("line_no", F.regexp_extract("value", r"Pass (\d+)[/:]", 1).try_cast("int").alias("pass"), v.alias("v")).where("pass is not null")
-    status = F.when(F.contains("v", F.lit("complete")), "complete").when(F.contains("v", F.lit("error")) | F.contains("v", F.lit("failed")), "error").when(F.contains("v", F.lit("skip")), "skipped").otherwise("running")
+    status = F.when(F.contains("v", F.lit("complete")) | F.contains("v", F.lit("✓")), "complete").when(F.contains("v", F.lit("error")) | F.contains("v", F.lit("failed")), "error").when(F.contains("v", F.lit("skipping")), "skipped").otherwise("running")
     last = hit.groupBy("pass").agg(F.max_by(status, "line_no").alias("status"))
     every = lines.sparkSession.range(1, passes + 1).select(F.col("id").cast("int").alias("pass"))
-    return every.join(last, "pass", "left").select("pass", F.coalesce("status", F.lit("pending")).alias("status"))
+    return every.join(last, "pass", "left").select("pass", F.coalesce("status", F.lit("unknown")).alias("status"))
 
 
 def probe_summary(probes: DataFrame) -> DataFrame:
@@ -148,17 +155,21 @@ def choose_rows(db: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def action_items(stats: DataFrame) -> DataFrame:
-    """(severity, item) by rules over one row of ``overview`` with a column ``top_faculty``."""
+    """(area, item) by rules over one row of ``overview``, ``violations`` and ``top_faculty``; one row if there is nothing to do."""
     rules = [
-        ("high", "no matches", F.col("total_matches") == 0),
-        ("medium", "unusually many matches", F.col("total_matches") > 500),
-        ("medium", "navigation titles", F.col("suspicious") > 0),
-        ("low", "one profile has over 50 matches", F.col("top_faculty") > 50),
+        ("VOLUME", "unusually many matches", F.col("total_matches") > 500),
+        ("VOLUME", "no matches", F.col("total_matches") == 0),
+        ("FILTER", "matches below the semantic threshold", F.col("below_semantic") > 0),
+        ("FILTER", "matches below the confidence threshold", F.col("below_confidence") > 0),
+        ("SCRAPER", "navigation titles", F.col("suspicious") > 0),
+        ("QUALITY", "one profile has over 50 matches", F.col("top_faculty") > 50),
     ]
-    found = F.array(*(F.when(hit, F.struct(F.lit(s).alias("severity"), F.lit(t).alias("item"))) for s, t, hit in rules))
-    return stats.select(F.inline(F.filter(found, lambda x: x.isNotNull())))
+    found = F.filter(F.array(*(F.when(hit, F.struct(F.lit(s).alias("area"), F.lit(t).alias("item"))) for s, t, hit in rules)), lambda x: x.isNotNull())
+    clean = F.array(F.struct(F.lit("").alias("area"), F.lit("no action items").alias("item")))
+    return stats.select(F.inline(F.when(F.size(found) > 0, found).otherwise(clean)))
 
 
-def config_drift(have: dict[str, float], expected: dict[str, float]) -> list[tuple[str, float | None, float]]:
-    """(name, value, expected) of settings that differ."""
-    return [(k, have.get(k), v) for k, v in expected.items() if have.get(k) != v]
+def config_drift(have: dict, semantic: float = 0.72, confidence: float = 0.65) -> list[str]:
+    """Settings of a run below what is expected, or filters that are off; a missing setting is no drift."""
+    out = [k for k, least in (("semantic_threshold", semantic), ("min_confidence", confidence)) if have.get(k) is not None and have[k] < least]
+    return out + [k for k in ("use_idf", "relevance_filter", "active_only") if have.get(k) is False]

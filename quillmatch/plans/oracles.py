@@ -165,10 +165,10 @@ o AS (SELECT keyword, dept, count(*) AS n, min(pos) AS p FROM k GROUP BY 1, 2),
     "breakdown_by_source": "SELECT source, count(*) AS n FROM documents GROUP BY 1",
     "stale_embeddings": P + "SELECT count(*) FILTER (embedding IS NULL OR version <> 5) AS stale, count(*) AS total FROM f",
     "log_parsed": LOGS + "SELECT level, module, count(*) AS n FROM l GROUP BY 1, 2",
-    "log_metrics": LOGS + "SELECT 'faculty' AS metric, arg_max(user_id, line_no) AS value FROM l WHERE event_type = 'signup' UNION ALL SELECT 'matches', arg_max(user_id, line_no) FROM l WHERE event_type NOT IN ('signup', 'error')",
+    "log_metrics": LOGS + "SELECT 'total_faculty_processed' AS metric, arg_max(user_id, line_no) AS value FROM l WHERE event_type = 'signup' UNION ALL SELECT 'total_matches_raw', arg_max(user_id, line_no) FROM l WHERE event_type NOT IN ('signup', 'error')",
     "drop_reasons": LOGS + "SELECT 'reason ' || user_id % 7 AS reason, count(*) AS n FROM l WHERE event_type = 'error' GROUP BY 1",
     "filter_logs": LOGS + "SELECT line_no, stamp || ' [ERROR] ' || module || ': dropped: reason ' || user_id % 7 AS value FROM l WHERE level = 'ERROR' AND module = 'mod1' ORDER BY line_no DESC LIMIT 200",
-    "pass_status": LOGS + "SELECT i AS pass, coalesce(max('complete') FILTER (event_type = 'signup'), 'pending') AS status FROM range(1, 9) AS t(i) LEFT JOIN l ON event_type = 'signup' AND line_no % 9 = i GROUP BY 1",
+    "pass_status": LOGS + "SELECT i AS pass, coalesce(max('complete') FILTER (event_type = 'signup'), 'unknown') AS status FROM range(1, 8) AS t(i) LEFT JOIN l ON event_type = 'signup' AND line_no % 9 = i GROUP BY 1",
 }
 _SCREEN = ORACLE_SQL["relevance"].replace("SELECT id, b IS NULL", ", z AS (SELECT id, t, b IS NULL") + ")"
 ORACLE_SQL["screening_counts"] = _SCREEN + " SELECT count(*) AS n_grants, count(*) FILTER (NOT is_relevant) AS skipped_irrelevant, 0::BIGINT AS skipped_admin FROM z"

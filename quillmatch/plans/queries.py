@@ -113,7 +113,7 @@ def log_lines(s, d) -> DataFrame:
     """Events as lines of a log."""
     e = table(s, d, "events")
     level = F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO")
-    body = F.when(F.col("event_type") == "signup", F.concat(F.lit("Pass "), F.col("event_id") % 9, F.lit(": complete, "), F.col("user_id"), F.lit(" faculty"))).when(F.col("event_type") == "error", F.concat(F.lit("dropped: reason "), F.col("user_id") % 7)).otherwise(F.concat(F.lit("found "), F.col("user_id"), F.lit(" matches found")))
+    body = F.when(F.col("event_type") == "signup", F.concat(F.lit("Pass "), F.col("event_id") % 9, F.lit(": complete, Processing "), F.col("user_id"), F.lit(" faculty"))).when(F.col("event_type") == "error", F.concat(F.lit("dropped: reason "), F.col("user_id") % 7)).otherwise(F.concat(F.col("user_id"), F.lit(" raw matches")))
     return e.select(F.col("event_id").alias("line_no"), F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" ["), level, F.lit("] mod"), F.col("user_id") % 4, F.lit(": "), body).alias("value"))
 
 
@@ -243,6 +243,6 @@ QUERIES = {
     "log_parsed": log_parsed,
     "log_metrics": lambda s, d: D.log_metrics(log_lines(s, d)),
     "drop_reasons": lambda s, d: D.drop_reasons(log_lines(s, d)),
-    "filter_logs": lambda s, d: D.filter_logs(log_lines(s, d), "error", "mod1"),
+    "filter_logs": lambda s, d: D.filter_logs(log_lines(s, d), "errors", "mod1"),
     "pass_status": lambda s, d: conf_cast(D.pass_status(log_lines(s, d))),
 }

@@ -155,15 +155,22 @@ def directory(lines: DataFrame, page: str) -> DataFrame:
     return l.where("_k = 1 and name is not null").select(page, "line_no", "name", F.coalesce("email", F.lit("")).alias("email"), T.keyword_line(F.col("line")).alias("keywords"))
 
 
+# Headings under which interests stand.
+HEADING = (
+    r"(?i)^\s*(research\s+(interests?|summary|focus|areas?|background|expertise)|areas?\s+of\s+(research|expertise|interest)|"
+    r"clinical\s+(interests?|expertise|focus)|laboratory\s+(focus|interests?|overview)|scientific\s+(interests?|focus)|expertise|my\s+research)\s*:?\s*$"
+)
+
+
 def profile_keywords(lines: DataFrame, page: str, most: int = 40) -> DataFrame:
     """(page, strategy, keywords) of a profile page's lines: by a heading of interests, a keyword line, paragraphs, or all text.
 
     The first strategy that finds something counts: items after a heading like ``Research interests``, the keyword line, phrases of
     paragraphs of over 120 characters, phrases of the page.
     """
-    heading = F.rlike("line", F.lit(r"(?i)^(research\s+interests?|areas?\s+of\s+(interest|expertise)|clinical\s+interests?)\s*:?\s*$"))
+    heading = F.rlike("line", F.lit(HEADING))
     l = lines.withColumn("_after", F.expr(f"lag(line) over (partition by `{page}` order by line_no)"))
-    after = F.rlike("_after", F.lit(r"(?i)^(research\s+interests?|areas?\s+of\s+(interest|expertise)|clinical\s+interests?)\s*:?\s*$"))
+    after = F.rlike("_after", F.lit(HEADING))
     found = l.groupBy(page).agg(
         F.flatten(F.collect_list(F.when(after, F.when(F.size(T.listed(F.col("line"))) > 0, T.listed(F.col("line"))).otherwise(T.phrases(F.col("line")))))).alias("a"),
         F.flatten(F.collect_list(F.when(F.rlike("line", F.lit(r"(?i)^keywords?\s*:")), T.keyword_line(F.col("line"))))).alias("b"),

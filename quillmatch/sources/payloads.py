@@ -79,20 +79,33 @@ def distinct_terms(terms: Column, most: int) -> Column:
     return F.slice(F.array_distinct(t), 1, most)
 
 
-# Descriptors that are on nearly every article.
-COMMON_MESH = ("Humans", "Animals", "Male", "Female", "Adult", "Middle Aged", "Aged", "Young Adult", "Adolescent", "Child", "Mice", "Rats", "Infant", "Aged, 80 and over")
+# Descriptors that are on many articles whatever their topic.
+COMMON_MESH = (
+    "humans", "male", "female", "adult", "aged", "animals", "mice", "rats", "child", "adolescent", "middle aged", "young adult",
+    "united states", "retrospective studies", "prospective studies", "treatment outcome", "time factors", "follow-up studies",
+)
+# Words of abstracts that name no topic.
+ABSTRACT_STOPS = (
+    "with that this from have been they their which will also more than when some into other were after about these both such project "
+    "study studies using used based results data patients clinical treatment university maryland grant funding supported"
+).split()
+
+
+def topical(terms: Column, most: int) -> Column:
+    """Terms in lower case without the common descriptors."""
+    return distinct_terms(F.filter(F.transform(terms, lambda x: F.lower(x)), lambda x: ~x.isin(*COMMON_MESH)), most)
 
 
 def article_terms(xml: Column, most: int = 60) -> Column:
-    """Descriptors and author keywords of an article set in XML, without the common ones."""
-    found = F.concat(F.xpath(xml, F.lit("//DescriptorName/text()")), F.xpath(xml, F.lit("//Keyword/text()")))
-    return distinct_terms(F.filter(found, lambda x: ~F.lower(x).isin(*(c.lower() for c in COMMON_MESH))), most)
+    """Descriptors, then author keywords of over three characters, of an article set in XML."""
+    words = F.filter(F.transform(F.xpath(xml, F.lit("//Keyword/text()")), lambda x: F.trim(x)), lambda x: F.length(x) > 3)
+    return topical(F.concat(F.xpath(xml, F.lit("//DescriptorName/text()")), words), most)
 
 
 def project_terms(terms: Column, abstract: Column, most: int = 60, few: int = 20) -> Column:
-    """Terms parted by ``|`` or ``;``; words of the abstract only while there are fewer than ``few``."""
-    listed = distinct_terms(F.split(F.coalesce(terms, F.lit("")), "[|;]"), most)
-    more = F.when(F.size(listed) < few, T.mined_tokens(F.coalesce(abstract, F.lit("")))).otherwise(F.array().cast("array<string>"))
+    """Terms of over three characters parted by ``|`` or ``;``; words of the abstract only if these are fewer than ``few``."""
+    listed = F.filter(F.transform(F.split(F.coalesce(terms, F.lit("")), "[|;]"), lambda x: F.lower(F.trim(x))), lambda x: F.length(x) > 3)
+    more = F.when(F.size(listed) < few, T.mined_tokens(F.coalesce(abstract, F.lit("")), ABSTRACT_STOPS)).otherwise(F.array().cast("array<string>"))
     return distinct_terms(F.concat(listed, more), most)
 
 
@@ -151,4 +164,4 @@ def europe_terms(body: Column, last: Column, affiliation: str, most: int = 60) -
         none = F.array().cast("array<string>")
         return F.concat(F.coalesce(F.transform(p["meshHeadingList"]["meshHeading"], lambda m: m["descriptorName"]), none), F.coalesce(p["keywordList"]["keyword"], none))
 
-    return distinct_terms(F.filter(F.flatten(F.transform(F.filter(papers, ours), terms)), lambda x: ~F.lower(x).isin(*(c.lower() for c in COMMON_MESH))), most)
+    return topical(F.flatten(F.transform(F.filter(papers, ours), terms)), most)

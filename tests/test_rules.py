@@ -131,13 +131,16 @@ def test_legacy_composite_confidence(spark):
 
 
 def test_logs_and_rules(spark):
-    lines = spark.createDataFrame([(1, "x [INFO] a: Pass 1/8"), (2, "x [ERROR] b: Pass 1: failed"), (3, "x [INFO] a: 5 matches found"), (4, "x [INFO] a: 7 matches found")], "line_no long, value string")
-    assert {r["pass"]: r.status for r in D.pass_status(lines, 2).collect()} == {1: "error", 2: "pending"}
-    assert D.log_metrics(lines).where("metric = 'matches'").first().value == 7
+    lines = spark.createDataFrame([(1, "x [INFO] a: Pass 1/8"), (2, "x [ERROR] b: Pass 1: failed"), (3, "x [INFO] a: 5 raw matches"), (4, "x [WARNING] a: 7 raw matches, dropped 3: too short"), (5, "score below the threshold")], "line_no long, value string")
+    assert {r["pass"]: r.status for r in D.pass_status(lines, 2).collect()} == {1: "error", 2: "unknown"}
+    assert D.log_metrics(lines).where("metric = 'total_matches_raw'").first().value == 7
     assert {r.module for r in D.log_modules(lines).collect()} == {"a", "b"}
-    stats = spark.createDataFrame([(0, 1, 60)], "total_matches long, suspicious long, top_faculty long")
-    assert {r.item for r in D.action_items(stats).collect()} == {"no matches", "navigation titles", "one profile has over 50 matches"}
-    assert D.config_drift({"a": 1.0}, {"a": 2.0}) == [("a", 1.0, 2.0)]
+    assert {r.reason: r.n for r in D.drop_reasons(lines).collect()} == {"too short": 1, "below_threshold": 1}
+    assert [r.line_no for r in D.filter_logs(lines, "errors").collect()] == [4, 2] and D.error_lines(lines).count() == 1
+    cols = "total_matches long, suspicious long, top_faculty long, below_semantic long, below_confidence long"
+    assert {r.item for r in D.action_items(spark.createDataFrame([(0, 1, 60, 0, 0)], cols)).collect()} == {"no matches", "navigation titles", "one profile has over 50 matches"}
+    assert D.action_items(spark.createDataFrame([(10, 0, 5, 0, 0)], cols).select("*")).first().item == "no action items"
+    assert D.config_drift({"semantic_threshold": 0.4, "use_idf": False}) == ["semantic_threshold", "use_idf"]
 
 
 def test_config_from_the_environment():
