@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -34,3 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
         found = f"file://{tempfile.mkdtemp(prefix='quillmatch-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows of df, written to the shared folder: made once however often they are used, and of known size to the planner."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/quillmatch-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

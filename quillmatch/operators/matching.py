@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillmatch.functions import score as S
 from quillmatch.functions import text as T
+from quillmatch.functions.ship import kept
 from quillmatch.plans.config import Config
 
 #: Profile vectors that are broadcast at once; more are joined block by block.
@@ -26,9 +27,10 @@ def faculty_keywords(faculty: DataFrame) -> DataFrame:
     return exploded.withColumn("kw", T.keyword_key(F.col("raw"))).where("kw <> ''")
 
 
-def idf_table(faculty: DataFrame) -> DataFrame:
+def idf_table(faculty: DataFrame, owned: DataFrame | None = None) -> DataFrame:
     """(kw, df, idf) with idf = ln(N / df); N counts all profiles, df the profiles that have the keyword."""
-    df = faculty_keywords(faculty).groupBy("kw").agg(F.count_distinct("fpos").alias("df"))
+    owned = faculty_keywords(faculty) if owned is None else owned
+    df = owned.groupBy("kw").agg(F.count_distinct("fpos").alias("df"))
     n = faculty.agg(F.count("*").alias("n"))
     return df.join(F.broadcast(n), how="cross").select("kw", "df", F.log(F.col("n") / F.col("df")).alias("idf"))  # n is one row
 
@@ -80,11 +82,11 @@ def keyword_matches(grants: DataFrame, faculty: DataFrame, config: Config, idf:
     """(id, name, matched_keywords, n_matched, title_hits, match_score, confidence_score) for each pair with a keyword.
 
     A keyword that a profile lists twice counts twice in scores and once in matched_keywords. Of profiles of the same name the last
-    one stands.
+    one stands. What follows from profiles alone, the dictionary of keywords, is made once and kept.
     """
-    table = idf_table(faculty) if idf is None else idf
-    good = eligible_keywords(table, config)
-    owned = faculty_keywords(faculty).join(good, "kw")
+    every = kept(faculty_keywords(faculty))
+    good = kept(eligible_keywords(kept(idf_table(faculty, every)) if idf is None else idf, config))
+    owned = every.join(good, "kw")
     pairs = grant_keywords(grants, good.select("kw")).join(owned, "kw")
     per = pairs.groupBy("id", "name", "fpos").agg(
         F.sort_array(F.collect_set("raw")).alias("matched_keywords"),
@@ -110,7 +112,7 @@ def semantic_matches(vectors: DataFrame, faculty: DataFrame, threshold: float, b
     each batch is one product of matrices. Rows without a vector match nothing.
     """
     spark = vectors.sparkSession
-    with_vector = faculty.where("embedding is not null").select("name", F.col("embedding").cast("array<double>").alias("embedding"), F.hash("name").alias("_h"))
+    with_vector = kept(faculty.where("embedding is not null").select("name", F.col("embedding").cast("array<double>").alias("embedding"), F.hash("name").alias("_h")))
     n = with_vector.count()
     blocks = max(1, -(-n // block_rows))
     kind = vectors.schema["id"].dataType.simpleString()
@@ -199,13 +201,13 @@ ORDER = "confidence_score desc, case match_type when 'both' then 0 when 'keyword
 def top_per_grant(matches: DataFrame, most: int) -> DataFrame:
     """The best ``most`` matches of each opportunity with their rank and the number before the cut; ties go by name."""
     ranked = matches.withColumn("rank", F.expr(f"row_number() over (partition by id order by {ORDER})"))
-    counts = matches.groupBy("id").agg(F.count("*").alias("n_before"))
-    return ranked.where(F.col("rank") <= most).join(counts, "id")
+    return ranked.withColumn("n_before", F.expr("count(*) over (partition by id)")).where(F.col("rank") <= most)
 
 
 def match_table(grants: DataFrame, faculty: DataFrame, vectors: DataFrame | None, config: Config) -> DataFrame:
     """The persisted form of a run's matches. ``pos`` orders rows newest first; without vectors there are keyword matches only."""
-    kw = keyword_matches(grants, faculty, config)
+    faculty = kept(faculty)
+    kw = kept(keyword_matches(grants, faculty, config))
     if vectors is None:
         sem = kw.select("id", "name").where("false").withColumn("similarity_score", F.lit(0.0))
     else:

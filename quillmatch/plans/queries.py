@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmatch.functions import score as S
 from quillmatch.functions import text as T
+from quillmatch.functions.ship import kept
 from quillmatch.operators import diagnostics as D
 from quillmatch.operators import identity as I
 from quillmatch.operators import matching as M
@@ -29,7 +30,7 @@ def match_keyword(s, d) -> DataFrame:
 
 
 def keyword_join(s, d):
-    good = M.eligible_keywords(M.idf_table(profiles(s, d)), QUERY_CONFIG)
+    good = kept(M.eligible_keywords(kept(M.idf_table(profiles(s, d))), QUERY_CONFIG))
     return M.grant_keywords(grants(s, d), good.select("kw")).groupBy("id").agg(F.count("*").alias("n_keywords"), F.sum("in_title").alias("n_title"), F.min("kw").alias("first_kw"))
 
 
@@ -50,7 +51,7 @@ def semantic_distribution(s, d):
 
 
 def merge_full(s, d):
-    kw = M.keyword_matches(grants(s, d), profiles(s, d), QUERY_CONFIG)
+    kw = kept(M.keyword_matches(grants(s, d), profiles(s, d), QUERY_CONFIG))
     sem = M.semantic_matches(A.grant_vectors(s, d), profiles(s, d), QUERY_CONFIG.semantic_threshold)
     return M.merged(kw, sem, full=True).groupBy("match_type").agg(F.count("*").alias("n"), F.sum("confidence_score").cast("long").alias("conf"), F.sum("match_score").cast("long").alias("score"))
 
@@ -186,7 +187,7 @@ QUERIES = {
     "grant_fields": grant_fields,
     "idf": lambda s, d: M.idf_table(profiles(s, d)).select("kw", "df", F.floor(F.col("idf") * 1e6).alias("idf_e6")),
     "dynamic_stops": lambda s, d: M.dynamic_stops(M.idf_table(profiles(s, d)), QUERY_CONFIG.max_keyword_prevalence),
-    "eligible_keywords": lambda s, d: M.eligible_keywords(M.idf_table(profiles(s, d)), QUERY_CONFIG).select("kw"),
+    "eligible_keywords": lambda s, d: M.eligible_keywords(kept(M.idf_table(profiles(s, d))), QUERY_CONFIG).select("kw"),
     "keyword_join": keyword_join,
     "pair_scores": pair_scores,
     "cosine_join": semantic_pairs,
