@@ -145,7 +145,7 @@ def text_functions(s, d):
         "conv_id", "turn", "role",
         F.md5(T.normalize(t)).alias("normalized"),
         F.md5(T.collapse(t)).alias("collapsed"),
-        F.array_join(T.mined_tokens(F.substring(t, 1, 300)), "|").alias("mined"),
+        F.array_join(T.mined_tokens(t), "|").alias("mined"),
         T.surrogate_key(F.lit("My Source"), F.substring(t, 1, 20), F.lit("u")).alias("key"),
         T.initials(t).alias("initials"),
     )
