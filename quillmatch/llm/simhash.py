@@ -10,8 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import Scratch, ship, table, with_row_hash, without_rows
+from quillmatch.llm.common import Scratch, ship, table, with_row_hash
 from quillmatch.llm.components import connected_components
+from quillmatch.llm.near import first_of_each
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -78,14 +79,8 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return met.select(F.col("fp").alias("u"), F.col("low").alias("v")).distinct().where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """(id, ``_row_hash``, fp, component_id) for every row; component_id is the smallest id reachable by links.
-
-    Copies share a fingerprint and are counted as one node, so a large group of copies adds no links. Texts without
-    words share fingerprint zero and are linked like any other. Repeated rows give repeated rows. A null id is
-    ignored in the minimum, so a group of null ids only has a null component_id. Empty tables give empty results.
-    Other columns are ignored.
-    """
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """``near_duplicates`` with the component's root, a fingerprint that is never null."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     prints = scratch.keep(fingerprints(docs, doc_id, text, words), "prints")
@@ -94,21 +89,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     low = least.join(nodes, least["fp"] == nodes["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     low = scratch.keep(low, "rooted")
     of_root = scratch.keep(low.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
-    of_print = scratch.keep(low.join(of_root, "root").select("fp", "component_id"), "classes")
-    return prints.join(of_print, "fp").select(doc_id, "_row_hash", "fp", "component_id")
+    of_print = scratch.keep(low.join(of_root, "root").select("fp", "component_id", "root"), "classes")
+    return prints.join(of_print, "fp").select(doc_id, "_row_hash", "fp", "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """(id, ``_row_hash``, fp, component_id) for every row; component_id is the smallest id reachable by links.
+
+    Copies share a fingerprint and are counted as one node, so a large group of copies adds no links. Texts without
+    words share fingerprint zero and are linked like any other. Repeated rows give repeated rows. A null id is
+    ignored in the minimum, so a group of null ids only has a null component_id. Empty tables give empty results.
+    Other columns are ignored.
+    """
+    return grouped(docs, doc_id, text, words, radius).drop("root")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each group of near duplicates: the one with the smallest id, then row hash.
+    """docs with one row of each group of near duplicates: the one with the smallest id, null last, then row hash.
 
     Rows that are equal in id and text are one document here and stay together; exact deduplication comes before.
     """
     scratch = Scratch(docs.sparkSession)
-    found = scratch.keep(near_duplicates(docs, doc_id, text), "found")
-    first = scratch.keep(found.groupBy("component_id").agg(F.min(F.struct(doc_id, "_row_hash")).alias("first")), "first")
-    paired = found.join(first, found["component_id"].eqNullSafe(first["component_id"]))
-    dropped = paired.where(~F.struct(found[doc_id], found["_row_hash"]).eqNullSafe(F.col("first"))).select(found[doc_id], found["_row_hash"])
-    return without_rows(docs, scratch.keep(dropped, "dropped"), doc_id)
+    found = scratch.keep(grouped(docs, doc_id, text).select(doc_id, "_row_hash", "root"), "found")
+    return first_of_each(docs, found, scratch, doc_id)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

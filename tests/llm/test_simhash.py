@@ -90,3 +90,10 @@ def test_one_document_of_a_group_stays(spark):
     kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA))
     assert kept.columns == ["doc_id", "text", "fp", "component_id"]
     assert {r.doc_id for r in kept.collect()} == {1, 2, None}
+
+
+def test_null_and_repeated_ids_do_not_join_groups(spark):
+    one, two = (" ".join(f"{w}{i}" for i in range(300)) for w in "ab")
+    for rows in ([(None, one, "", 0), (None, two, "", 0)], [(1, one, "", 0), (1, two, "", 0)]):
+        kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA))
+        assert {r.text for r in kept.collect()} == {one, two}
