@@ -49,13 +49,13 @@ def remove(path: str) -> None:
     store.delete_file(at)
 
 
-def listing(path: str) -> Iterator[tuple[str, int]]:
-    """(path, size) of the files in a folder, in order, or of the one file; hidden and marker files are left out."""
+def listing(path: str, hidden: bool = False) -> Iterator[tuple[str, int]]:
+    """(path, size) of the files in a folder, in order, or of the one file; hidden and marker files only if asked for."""
     name = local(path)
     if name is not None:
         found = [name] if os.path.isfile(name) else [os.path.join(name, x) for x in sorted(os.listdir(name))] if os.path.isdir(name) else []
         for x in found:
-            if os.path.isfile(x) and os.path.basename(x)[0] not in "._":
+            if os.path.isfile(x) and (hidden or os.path.basename(x)[0] not in "._"):
                 yield x, os.path.getsize(x)
         return
     from pyarrow import fs
@@ -64,5 +64,5 @@ def listing(path: str) -> Iterator[tuple[str, int]]:
     scheme = path[: len(path) - len(at)] if path.endswith(at) else f"{urlsplit(path).scheme}://"
     info = store.get_file_info(at)
     for f in [info] if info.type == fs.FileType.File else sorted(store.get_file_info(fs.FileSelector(at, allow_not_found=True)), key=lambda f: f.path):
-        if f.type == fs.FileType.File and f.base_name[0] not in "._":
+        if f.type == fs.FileType.File and (hidden or f.base_name[0] not in "._"):
             yield scheme + f.path, f.size

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -31,6 +32,8 @@ HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_ur
 END = b"\r\n\r\n"
 CHUNK = 1 << 14
 LONGEST_HEADER = 1 << 20
+#: Names that the writer gives.
+PART = re.compile(r"part-[0-9a-f]{32}\.warc\.gz")
 
 
 # --- records ------------------------------------------------------------------------------------------------------------
@@ -213,7 +216,7 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[Files]:
         """Files in order, put together up to ``partitionBytes``; a writer's files are no larger than ``fileBytes``."""
         out, names, size = [], [], 0
-        for name, n in listing(self.path):
+        for name, n in committed(self.path):
             if names and size + n > self.bytes:
                 out.append(Files(tuple(names)))
                 names, size = [], 0
@@ -244,6 +247,20 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema)
 
 
+def committed(path: str) -> Iterator[tuple[str, int]]:
+    """(path, size) of the files to read. Where markers are, files of the writer's form of name that none of them names are left
+    out, as attempts lost with their worker left them; files that others put there are read."""
+    markers = [x for x, _ in listing(path, hidden=True) if x.rsplit("/", 1)[-1].startswith("_COMMITTED-")]
+    named: set[str] = set()
+    for x in markers:
+        with open_input(x) as f:
+            named.update(json.loads(f.read()))
+    for name, n in listing(path):
+        base = name.rsplit("/", 1)[-1]
+        if not markers or base in named or not PART.fullmatch(base):
+            yield name, n
+
+
 @dataclass
 class Written(WriterCommitMessage):
     names: tuple[str, ...]
