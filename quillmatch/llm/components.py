@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from quillmatch.llm.common import Scratch
 
 
+#: Edges that a file of a round has, about.
+ROWS_OF_FILE = 200_000
+
+
 def _minima(edges: DataFrame) -> DataFrame:
     """The smallest neighbour of each u, from edges (u, v)."""
     return edges.groupBy("u").agg(F.min("v").alias("m"))
@@ -17,29 +21,29 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 200) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, name: str = "edges", max_rounds: int = 200) -> DataFrame:
     """(node, root) for every node of edges (u, v); root is the smallest node of its component.
 
     Alternates the large-star and small-star steps, which needs a number of rounds of the order of the squared
     logarithm of the component size, whatever the diameter. Each step finds minima by aggregation, with partial sums
     before the shuffle, and joins them back to a written table; so the star of a large component is a skewed join
-    that adaptive execution splits, and never one group in one task. Rounds are written to the shared folder.
-    Loops and repeated edges are harmless; an empty graph gives an empty table.
+    that adaptive execution splits, and never one group in one task. Rounds are written to the shared folder, in a number of
+    files that follows that of the edges, and the last round alone stays. Loops and repeated edges are harmless; an empty graph gives an empty table.
     """
-    now = scratch.keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges-0")
+    now = scratch.keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
     before = _state(now)
     for i in range(1, max_rounds):
+        files = 4 + before[0] // ROWS_OF_FILE
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = scratch.keep(_minima(both).select("u", F.least("u", "m").alias("m")), f"low-{i}")
+        low = scratch.keep(_minima(both).select("u", F.least("u", "m").alias("m")), f"{name}-low-{i}", files)
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = scratch.keep(large, f"large-{i}")
-        low = scratch.keep(_minima(large), f"small-{i}")
+        large = scratch.keep(large, f"{name}-large-{i}", files)
+        low = scratch.keep(_minima(large), f"{name}-small-{i}", files)
         hop = large.join(low, "u")
         small = hop.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        after = scratch.keep(small, f"edges-{i}")
+        after = scratch.keep(small, f"{name}-{i}", files)
         state = _state(after)
-        for name in (f"low-{i}", f"large-{i}", f"small-{i}", f"edges-{i - 1}"):
-            scratch.drop(name)
+        scratch.drop(f"{name}-low-{i}", f"{name}-large-{i}", f"{name}-small-{i}", f"{name}-{i - 1}")
         now = after
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
