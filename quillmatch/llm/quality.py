@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -16,8 +17,10 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 3
 MIN_WORDS = 50
 MAX_REPEATED = 50
-#: Rows whose costs and verdicts set the order of the rules. The order changes the time, never a verdict.
-SAMPLE_ROWS = 500
+#: Texts of a task on which all rules are tried, one in SAMPLE_STEP until there are so many; they set the order of the rules there.
+SAMPLE_ROWS, SAMPLE_STEP = 64, 8
+BULLETS = ("-", "*", "•", "‣", "·")
+ELLIPSES = ("...", "…")
 
 
 @dataclass
@@ -61,9 +64,9 @@ class Text:
     def n_repeat_words(self) -> int:
         return self._once("n_repeat_words", lambda: repeated_words(self.words))
 
-    @property
-    def n_exclaims(self) -> int:
-        return self._once("n_exclaims", lambda: self.raw.count("!"))
+    def fresh(self) -> Text:
+        """The same text with the counts found so far, to which what the copy finds is not added."""
+        return Text(self.raw, dict(self._found))
 
 
 def repeated_words(words: Sequence[bytes], k: int = WINDOW) -> int:
@@ -97,49 +100,74 @@ class Rule:
     rejects: Callable[[Text], bool]
 
 
-#: They look for text that is not prose in any language: few words, repetition, tables, mark-up, shouting.
+def share(items: Sequence, good: Callable) -> float:
+    """Share of items that are good; 0 of none."""
+    return sum(map(good, items)) / len(items) if items else 0.0
+
+
+def lettered(word: bytes) -> bool:
+    return word.isalpha() or any(map(str.isalpha, word.decode()))
+
+
+def most_common(words: Sequence[bytes]) -> int:
+    return max(Counter(words).values(), default=0)
+
+
+#: They look for text that is not prose in any language. The base is what every text is measured by.
 BASE = (
     Rule("words", lambda t: t.n_words < MIN_WORDS),
     Rule("repeated", lambda t: 100 * t.n_repeat_words > MAX_REPEATED * t.n_words),
 )
+#: The cascade: tables and mark-up, shouting, broken encodings, repeated lines, lists, teasers, numbers, one word over and over.
 RULES = (
     Rule("symbols", lambda t: 10 * t.n_symbols > t.n_words),
-    Rule("exclaims", lambda t: 5 * t.n_exclaims > t.n_words),
+    Rule("exclaims", lambda t: 5 * t.raw.count("!") > t.n_words),
+    Rule("broken", lambda t: 10 * t.raw.count("\ufffd") > t.n_words),
     Rule("lines", lambda t: 100 * t.n_dup_lines > 60 * len(t.lines)),
+    Rule("bullets", lambda t: share(t.lines, lambda x: x.strip(BLANKS).startswith(BULLETS)) > 0.9),
+    Rule("teasers", lambda t: share(t.lines, lambda x: x.strip(BLANKS).endswith(ELLIPSES)) > 0.6),
+    Rule("letters", lambda t: t.n_words > 0 and share(t.words, lettered) < 0.5),
+    Rule("one_word", lambda t: t.n_words >= 20 and 100 * most_common(t.words) > 40 * t.n_words),
+)
+#: What a pipeline keeps documents by. A short text may be clean, so only one without words goes for its length, and one sentence that
+#: stands there twice is soon half of it.
+KEEP = (
+    Rule("empty", lambda t: t.n_words == 0),
+    Rule("repeated", lambda t: 100 * t.n_repeat_words > (MAX_REPEATED if t.n_words >= MIN_WORDS else 90) * t.n_words),
+    *RULES,
 )
 
 
-def measured(rules: Sequence[Rule], texts: Sequence[str]) -> list[tuple[float, int]]:
-    """Seconds and rejections of each rule, tried on every text by itself."""
-    out = []
-    for rule in rules:
-        fresh = [Text(t) for t in texts]
-        began = time.perf_counter()
-        n = sum(rule.rejects(t) for t in fresh)
-        out.append((time.perf_counter() - began, n))
-    return out
-
-
-def by_worth(rules: Sequence[Rule], found: Sequence[tuple[float, int]]) -> list[Rule]:
-    """Rules by rejection per cost, highest first; ties keep the given order."""
-    worth = [n / max(seconds, 1e-9) for seconds, n in found]
-    return [rules[i] for i in sorted(range(len(rules)), key=lambda i: -worth[i])]
-
-
-def ordered(rules: Sequence[Rule], docs: DataFrame, text: str, rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejection per cost on at most ``rows`` rows of the first files; a worker tries them, and the texts stay there."""
+class Cascade:
+    """Rules in the order of rejection per cost on a sample of the texts that it has seen; a text is tried until a rule rejects it.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [(0.0, 0)] * len(rules)
-        for b in batches:
-            found = measured(rules, [t.as_py() or "" for t in b.column(0)])
-            total = [(s + x, n + y) for (s, n), (x, y) in zip(total, found, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int32()), pa.array([x[0] for x in total], pa.float64()), pa.array([x[1] for x in total], pa.int64())], names=["rule", "seconds", "n"])
+    One text in ``step`` is part of the sample until that has ``rows`` texts: on these each rule is tried by itself and its time and
+    verdict are added up. The order changes the time that a text takes, never its verdict. So each task has the order for
+    its own rows, whatever language or source a table is sorted by, and there is no pass over the table before.
+    """
 
-    total = [(0.0, 0)] * len(rules)
-    for r in docs.select(text).limit(rows).mapInArrow(run, "rule int, seconds double, n long").collect():
-        total[r.rule] = (total[r.rule][0] + r.seconds, total[r.rule][1] + r.n)
-    return by_worth(rules, total)
+    def __init__(self, rules: Sequence[Rule], rows: int = SAMPLE_ROWS, step: int = SAMPLE_STEP):
+        self.rules, self.order, self.rows, self.step = list(rules), list(rules), rows, step
+        self.seconds, self.rejected = [0.0] * len(rules), [0] * len(rules)
+        self.seen = self.sampled = 0
+
+    def failing(self, text: Text) -> str | None:
+        """Name of the first rule, in the present order, that rejects the text; those after it are not tried, but on the sample."""
+        if self.sampled < self.rows and self.seen % self.step == 0:
+            self.measure(text)
+        self.seen += 1
+        return failing(text, self.order)
+
+    def measure(self, text: Text) -> None:
+        for i, rule in enumerate(self.rules):
+            own = text.fresh()
+            began = time.perf_counter()
+            self.rejected[i] += rule.rejects(own)
+            self.seconds[i] += time.perf_counter() - began
+        self.sampled += 1
+        worth = [n / max(s, 1e-9) for n, s in zip(self.rejected, self.seconds, strict=True)]
+        cost = {r.name: s for r, s in zip(self.rules, self.seconds, strict=True)}
+        self.order = [self.rules[i] for i in sorted(range(len(worth)), key=lambda i: (-worth[i], cost[self.rules[i].name]))]
 
 
 def failing(text: Text, rules: Sequence[Rule]) -> str | None:
@@ -153,22 +181,24 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", base: Sequence[Rule] = BASE, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(id, counts of COUNTS, base_failed, kept) for every row.
 
-    A row that a base rule rejects is not kept; else the cascade of rules decides. Null and empty texts have no words,
-    so the default base rejects them. Repeated rows give repeated rows; other columns are ignored.
+    The counts are told of every text and are found first. A row that a base rule rejects is not kept; else the cascade of rules
+    decides, which may use the counts and tries no rule after one that rejects. Null and empty texts have no words, so the
+    default base rejects them. Whole texts are read, whatever their length. Repeated rows give repeated rows, an empty table an
+    empty result; other columns are ignored, whatever their names. Rows are judged where they are read.
     """
     ship(docs.sparkSession)
-    cascade = ordered(rules, docs, text, sample_rows)
     rows = docs.select(doc_id, text)
     kind = rows.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cascade = Cascade(rules, sample_rows)
         for b in batches:
             counts, failed, kept = [], [], []
             for t in b.column(1):
                 t = Text(t.as_py() or "")
                 counts.append([getattr(t, c) for c in COUNTS])
                 failed.append(failing(t, base) is not None)
-                kept.append(not failed[-1] and failing(t, cascade) is None)
+                kept.append(not failed[-1] and cascade.failing(t) is None)
             columns = list(zip(*counts, strict=True)) or [[] for _ in COUNTS]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in columns), pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_())], names=[doc_id, *COUNTS, "base_failed", "kept"])
 
@@ -176,14 +206,18 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", base: Se
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = (*BASE, *RULES), sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of docs that no rule rejects, with all their columns; each text is tried until a rule rejects it."""
+    """The rows of docs that no rule rejects, with all their columns, whatever their names; repeated rows stay repeated.
+
+    Each text is tried until a rule rejects it, and no count is found that no rule asks for. Null counts as empty; an empty table stays
+    empty. Whole texts are read, whatever their length.
+    """
     ship(docs.sparkSession)
-    cascade = ordered(rules, docs, text, sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cascade = Cascade(rules, sample_rows)
         for b in batches:
             at = b.schema.get_field_index(text)
-            yield b.filter(pa.array([failing(Text(t.as_py() or ""), cascade) is None for t in b.column(at)], pa.bool_()))
+            yield b.filter(pa.array([cascade.failing(Text(t.as_py() or "")) is None for t in b.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -198,12 +232,16 @@ WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesc
 tri AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS i, words FROM w),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS c FROM tri) WHERE c > 1),
 cov AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM rep, (VALUES (0), (1), (2)) AS o(j) GROUP BY doc_id),
+top AS (SELECT doc_id, max(n) AS n_top FROM (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(words) AS word FROM w) GROUP BY ALL) GROUP BY doc_id),
 c AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
              length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-             coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines, length(regexp_replace(text, '[^!]', '', 'g')) AS n_exclaims
-      FROM w LEFT JOIN cov USING (doc_id)),
+             coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines, length(regexp_replace(text, '[^!]', '', 'g')) AS n_exclaims,
+             length(regexp_replace(text, '[^\x{FFFD}]', '', 'g')) AS n_broken, coalesce(n_top, 0) AS n_top, len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) AS n_letters,
+             len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•‣·]'))) AS n_bullets, len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_teasers
+      FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN top USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (10 * n_symbols > n_words) AND NOT (5 * n_exclaims > n_words) AND NOT (100 * n_dup_lines > 60 * n_lines) AS kept
+       NOT base_failed AND NOT (10 * n_symbols > n_words) AND NOT (5 * n_exclaims > n_words) AND NOT (10 * n_broken > n_words) AND NOT (100 * n_dup_lines > 60 * n_lines)
+       AND NOT (n_bullets > 0.9 * n_lines) AND NOT (n_teasers > 0.6 * n_lines) AND NOT (n_letters < 0.5 * n_words) AND NOT (100 * n_top > 40 * n_words) AS kept
 FROM b
 """
