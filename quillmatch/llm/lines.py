@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -10,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import BLANKS, Scratch, same_row, ship, table, with_row_hash
+from quillmatch.llm.common import BLANKS, Bloom, Scratch, ship, table, unused, with_row_hash
 
 WINDOW = 3
 _BLANKS = BLANKS.encode()
@@ -74,38 +73,46 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", te
     return later.distinct().groupBy(doc_id, "_row_hash").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
 
 
-def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WINDOW) -> DataFrame:
-    """docs with cleaned texts and the columns _n_lines and _n_removed.
+def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WINDOW, n_lines: str = "_n_lines", n_removed: str = "_n_removed") -> DataFrame:
+    """docs with cleaned texts and two more columns, the number of lines and of those removed; columns of docs of these names go.
 
     A text of fewer than k lines with words stays as it is, as does one whose lines do not repeat. Null stays null. A text whose
-    lines all repeat becomes empty. Spans are about as many as documents with repeats, so they are never broadcast, at any size.
+    lines all repeat becomes empty. Whole texts are read, whatever their length; repeated rows are cleaned alike. An
+    empty table gives an empty result. Other columns stay, whatever their names.
+
+    Only texts that a Bloom filter of the documents with spans lets pass, these and a few others, are shuffled to meet their spans;
+    all others stay where they are read. Spans are about as many as documents with repeats, so they are never broadcast, at any size.
     """
     scratch = Scratch(docs.sparkSession)
-    spans = scratch.keep(repeated_spans(docs, scratch, doc_id, text, k), "spans")
-    keyed = with_row_hash(docs, text=text)
-    joined = keyed.join(spans.hint("merge"), same_row(keyed, spans, [doc_id, "_row_hash"]), "left").select(*(keyed[c] for c in docs.columns), spans["spans"].alias("_spans"))
-    out = docs.withColumn("_n_lines", F.lit(0).cast("long")).withColumn("_n_removed", F.lit(0).cast("long")).schema
-    at = docs.columns.index(text)
+    spans = scratch.keep(repeated_spans(docs, scratch, doc_id, text, k).select(F.col(doc_id).alias("_id"), F.col("_row_hash").alias("_hash"), "spans"), "spans")
+    bloom = Bloom(spans.select(F.xxhash64("_id", "_hash")), spans.count(), scratch)
+    rows = docs.select(*(docs[c] for c in docs.columns if c.lower() not in (n_lines.lower(), n_removed.lower())))
+    kept, at = rows.columns, rows.columns.index(text)
+    own = unused(kept, "_spans")
+    key = F.xxhash64(rows[doc_id], F.xxhash64(rows[text]))
+    maybe = bloom.passed(rows, key)
+    joined = maybe.join(spans.hint("merge"), maybe[doc_id].eqNullSafe(spans["_id"]) & F.xxhash64(maybe[text]).eqNullSafe(spans["_hash"]), "left").select(*(maybe[c] for c in kept), spans["spans"].alias(own))
+    sizes = [F.coalesce(F.regexp_count(F.col(text), F.lit("\n")) + 1, F.lit(0)).cast("long").alias(n_lines), F.lit(0).cast("long").alias(n_removed)]
+    plain = bloom.passed(rows, key, outside=True).select(*kept, *sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, n, gone = [], [], []
-            for t, s in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column(len(docs_columns)).to_pylist(), strict=True):
+            for t, s in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column(len(kept)).to_pylist(), strict=True):
                 n.append(0 if t is None else t.count(b"\n") + 1)
                 t, g = (t, 0) if t is None or not s else without_lines(t, [(x["a"], x["z"]) for x in s])
                 texts.append(t)
                 gone.append(g)
-            columns = [b.column(i) for i in range(len(docs_columns))]
+            columns = [b.column(i) for i in range(len(kept))]
             columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*docs_columns, "_n_lines", "_n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*kept, n_lines, n_removed])
 
-    docs_columns = docs.columns
-    return joined.mapInArrow(run, out)
+    return plain.unionByName(joined.mapInArrow(run, plain.schema))
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("clean_sha256"))
+    found = without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), n_lines="n_lines", n_removed="n_removed")
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("clean_sha256"))
 
 
 OP6_SQL = r"""
