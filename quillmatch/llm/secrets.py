@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from math import log2
 
@@ -19,19 +20,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: A window of this many characters must reach the entropy, in bits a character, of its class; a class needs a digit and a letter.
 WINDOW = 20
+#: Classes from the widest; a run of a class is of this length at least.
 CLASSES = (
-    ("hex", re.compile(r"[0-9A-Fa-f]+"), 3.0),
-    ("alnum", re.compile(r"[0-9A-Za-z]+"), 3.6),
-    ("base64", re.compile(r"[0-9A-Za-z+/_=-]+"), 3.7),
-)
-CANDIDATE = re.compile(r"[0-9A-Za-z+/_=-]{20,}")
-#: Strings like secrets that are none: UUIDs, paths, words joined by marks, repeated or counted characters.
-ALLOWED = (
-    re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
-    re.compile(r"[A-Za-z]*([/_=-]+[A-Za-z]*)*"),
-    re.compile(r"\d+([/_=-]+\d+)*"),
-    re.compile(r"(?i).*(example|placeholder|changeme|dummy|xxxx|1234567890|abcdefgh).*"),
+    (re.compile(r"[0-9A-Za-z+/_-]{20,}={0,2}"), 3.7),
+    (re.compile(r"[0-9A-Za-z]{20,}"), 3.6),
+    (re.compile(r"[0-9A-Fa-f]{20,}"), 3.0),
 )
+#: Strings like secrets that are none: UUIDs. Words or numbers joined by marks are none either, as they lack a digit or a letter.
+ALLOWED = (re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),)
+#: Words of which a run has one only if it stands for a secret and is none.
+PLACEHOLDER = re.compile(r"(?i)example|placeholder|changeme|dummy|xxxx|1234567890|abcdefgh")
 _NLOGN = [0.0, *(n * log2(n) for n in range(1, WINDOW + 1))]
 
 
@@ -52,14 +50,32 @@ def windows(s: str, size: int = WINDOW) -> Iterator[float]:
             yield log2(size) - total / size
 
 
-def random_looking(s: str) -> bool:
-    """If the narrowest class that has all characters of s finds a window of enough entropy in it."""
-    if any(a.fullmatch(s) for a in ALLOWED) or not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
+def allowed(s: str) -> bool:
+    """If the allow-list has the string, though its entropy may be high."""
+    return PLACEHOLDER.search(s) is not None or any(a.fullmatch(s) for a in ALLOWED)
+
+
+def random_looking(s: str, least: float) -> bool:
+    """If a window of s, which must have a digit and a letter, has that entropy."""
+    if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
         return False
-    least = next(bits for _, chars, bits in CLASSES if chars.fullmatch(s))
     return any(h >= least - 1e-9 for h in windows(s))
 
 
+def runs(text: str, start: int = 0, end: int | None = None, kind: int = 0) -> Iterator[tuple[int, int]]:
+    """Spans, in a part of the text, of runs of a class that look random and are not on the allow-list, the widest class first.
+
+    A run that is none falls into its runs of the next narrower class, which are judged by that class's entropy and are
+    looked up on the allow-list by themselves.
+    """
+    pattern, least = CLASSES[kind]
+    for m in pattern.finditer(text, start, len(text) if end is None else end):
+        if random_looking(m[0], least) and not allowed(m[0]):
+            yield m.span()
+        elif kind + 1 < len(CLASSES):
+            yield from runs(text, *m.span(), kind + 1)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of pattern matches, in code points, leftmost and non-overlapping for each kind."""
     out = []
@@ -73,11 +89,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates of enough entropy that no base span touches."""
+    """Runs of enough entropy that do not lie within a stretch which base spans, sorted by start, cover."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, _, b in base:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     out = []
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if not any(x < b and a < y for x, _, y in base) and random_looking(m[0]):
+    for a, b in runs(text):
+        i = bisect_right(starts, a) - 1
+        if i < 0 or b > ends[i]:
             out.append((a, 3, b))
     return out
 
@@ -95,8 +119,9 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
 def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans) for every row; spans are kind:start:end by start.
 
-    Null and empty texts have no spans; repeated rows give repeated rows. Rows are scanned where they are read. Of a very
-    long text only its spans are kept, and a candidate's window counts take constant memory.
+    Spans of one start go by kind. Null and empty texts have no spans; repeated rows give repeated rows, an empty table an empty
+    result; other columns are ignored, whatever their names. Rows are scanned where they are read. Of a very long text only its
+    spans are kept; the time is in proportion to its length and the number of spans, and a run's window counts take constant memory.
     """
     ship(docs.sparkSession)
     rows = docs.select(doc_id, text)
