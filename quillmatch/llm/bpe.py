@@ -233,7 +233,8 @@ def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: s
     """(id, columns of ``keep``, n_tokens, [ids], ids_sha256, decoded_sha256) for every row.
 
     Null and empty texts have no tokens. Whole texts are encoded, whatever their length; rows with the same text have
-    the same result. The vocabulary file is sent to the workers. Each keeps the ids of at most ``CACHED`` distinct pieces
+    the same result, and repeated rows stay repeated. An empty table gives an empty result; columns not in ``keep`` are ignored,
+    whatever their names. Rows are encoded where they are read. The vocabulary file is sent to the workers. Each keeps the ids of at most ``CACHED`` distinct pieces
     and encodes the pieces of a batch that it does not know in numpy rounds.
     """
     spark = docs.sparkSession
