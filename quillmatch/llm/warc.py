@@ -31,7 +31,8 @@ SCHEMA = "record_id string, record_type string, target_uri string, date string,
 HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "refers_to": "warc-refers-to"}
 END = b"\r\n\r\n"
 CHUNK = 1 << 14
-LONGEST_HEADER = 1 << 20
+#: A header block beyond this, which none has, is an error; so a file that is no archive does not fill the memory.
+LONGEST_HEADER = 1 << 28
 #: Names that the writer gives.
 PART = re.compile(r"part-[0-9a-f]{32}\.warc\.gz")
 
@@ -39,9 +40,12 @@ PART = re.compile(r"part-[0-9a-f]{32}\.warc\.gz")
 # --- records ------------------------------------------------------------------------------------------------------------
 
 
+_UNCLEAN = re.compile(r"[\x00-\x1f\x7f]|^[ <]+|[ >]+$")
+
+
 def clean(value: str) -> str:
-    """A value for a header line: control characters, and so line ends, are percent-encoded."""
-    return "".join(c if c >= " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in value)
+    """A value for a header line: control characters, and so line ends, are percent-encoded, as are blanks and brackets at its ends."""
+    return _UNCLEAN.sub(lambda m: "".join(f"%{ord(c):02X}" for c in m[0]), value)
 
 
 def record(row: dict, date: str) -> bytes:
@@ -85,46 +89,59 @@ def fields(head: bytes) -> dict[str, str]:
     return out
 
 
+def bare(value: str | None) -> str | None:
+    """A header's value without brackets around it."""
+    return value[1:-1] if value and value[0] == "<" and value[-1] == ">" else value
+
+
 class Inflated:
     """The bytes of a gzip member, or of a file itself, from the start of a record, read as far as asked for."""
 
     def __init__(self, f: BinaryIO, packed: bool):
-        self.f, self.d, self.buffer, self.out = f, zlib.decompressobj(31) if packed else None, b"", False
+        self.f, self.d, self.buffer, self.out = f, zlib.decompressobj(31) if packed else None, bytearray(), False
 
     def more(self, n: int = CHUNK) -> bool:
         data = self.f.read(max(n, CHUNK) if self.d is None else CHUNK)
-        if self.d is not None and data:
-            self.buffer += self.d.decompress(data)
-        else:
-            self.buffer += data
+        self.buffer += self.d.decompress(data) if self.d is not None else data
         self.out = not data or (self.d is not None and self.d.eof)
         return not self.out
 
-    def until_end(self) -> bytes:
-        """A header block; what follows it stays."""
-        while END not in self.buffer and len(self.buffer) < LONGEST_HEADER and self.more():
-            pass
-        head, _, self.buffer = self.buffer.partition(END)
-        return head
+    def until_end(self, within: int = LONGEST_HEADER) -> bytes | None:
+        """A header block, of any length up to ``within``; what follows it stays. None, and nothing read, if no block ends there."""
+        looked = 0
+        while True:
+            at = self.buffer.find(END, max(0, looked - len(END) + 1), within)
+            if at >= 0:
+                head = bytes(self.buffer[:at])
+                del self.buffer[: at + len(END)]
+                return head
+            looked = len(self.buffer)
+            if looked >= within or self.out:
+                return None
+            self.more()
 
     def take(self, n: int) -> bytes:
+        """The next n bytes; an error if there are fewer."""
         parts, have = [self.buffer], len(self.buffer)
-        self.buffer = b""
-        while have < n:
-            going = self.more(n - have)
+        while have < n and not self.out:
+            self.buffer = bytearray()
+            self.more(n - have)
             parts.append(self.buffer)
             have += len(self.buffer)
-            self.buffer = b""
-            if not going:
-                break
+        if have < n:
+            raise ValueError(f"a record ends after {have} of {n} bytes")
         data = b"".join(parts)
-        self.buffer = data[n:]
+        self.buffer = bytearray(data[n:])
         return data[:n]
 
     def drain(self) -> None:
-        self.buffer = b""
-        while not self.out and self.more():
-            self.buffer = b""
+        """Reads to the end of the member without keeping what is read; an error if it is cut."""
+        self.buffer.clear()
+        while not self.out:
+            self.more()
+            self.buffer.clear()
+        if self.d is not None and not self.d.eof:
+            raise ValueError("a compressed record is cut")
 
 
 def records(f: BinaryIO, wanted: Callable[[dict[str, str]], bool], payloads: bool) -> Iterator[dict]:
@@ -132,7 +149,8 @@ def records(f: BinaryIO, wanted: Callable[[dict[str, str]], bool], payloads: boo
 
     The headers of a record come first. If they are not wanted, the rest is skipped without being inflated, where the member says how
     long it is or the file is plain. Without ``payloads`` only the HTTP header of a wanted record is read too. A gzip
-    member without its length is inflated to its end, in pieces.
+    member without its length is inflated to its end, in pieces. A header or payload of any length comes back whole; one that is cut is
+    an error, never a short row.
     """
     at = 0
     while True:
@@ -157,8 +175,10 @@ def records(f: BinaryIO, wanted: Callable[[dict[str, str]], bool], payloads: boo
         f.seek(at)
         got = Inflated(f, packed)
         head = got.until_end()
-        if not head:
-            return
+        if head is None:
+            if not got.buffer.strip(b"\r\n"):
+                return
+            raise ValueError(f"the headers of the record at byte {at} do not end")
         h = fields(head)
         length = int(h.get("content-length", 0))
         if not packed:
@@ -168,16 +188,17 @@ def records(f: BinaryIO, wanted: Callable[[dict[str, str]], bool], payloads: boo
             http = kind in ("response", "revisit") and h.get("content-type", "").replace(" ", "").startswith("application/http")
             inner, skipped = {}, 0
             if http:
-                top = got.until_end()
-                inner, skipped = fields(top), len(top) + len(END)
+                top = got.until_end(length)
+                if top is not None:
+                    inner, skipped = fields(top), len(top) + len(END)
             size = length - skipped
             if kind == "revisit" and inner.get("content-length", "").isdigit():
                 size = int(inner["content-length"])
             digest = h.get("warc-payload-digest", "")
             if digest.lower().startswith("sha1:"):
                 value = digest[5:]
-                digest = value.lower() if len(value) == 40 else base64.b32decode(value.upper()).hex()
-            row = {c: (h[n][1:-1] if h.get(n, "").startswith("<") else h.get(n)) for c, n in HEADERS.items()}
+                digest = value.lower() if len(value) == 40 else base64.b32decode(value.upper()).hex() if re.fullmatch("[A-Za-z2-7]{32}", value) else ""
+            row = {c: bare(h.get(n)) for c, n in HEADERS.items()}
             row |= {"payload_digest": digest or None, "payload_bytes": size, "payload": (got.take(length - skipped) if kind != "revisit" else b"") if payloads else None}
             yield row
         if after is None:
@@ -226,8 +247,7 @@ class WarcReader(DataSourceReader):
 
     def wanted(self, h: dict[str, str]) -> bool:
         for name, how, values in self.tests:
-            v = h.get(name)
-            v = v[1:-1] if v is not None and v.startswith("<") else v
+            v = bare(h.get(name))
             if v is None or (v not in values if how == "in" else not v.startswith(values)):
                 return False
         return True
@@ -340,7 +360,9 @@ PREFIX = "urn:x-page:"
 
 def archived(pages: DataFrame, scratch: Scratch, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
     """A row to write for each page. Of equal payloads of at least ``least`` bytes the one with the largest id is a response,
-    the others revisit it; smaller ones are all responses. Null html is empty; a page without id never is the one revisited.
+    the others revisit it; smaller ones are all responses. Null html is empty; a page without id never is the one revisited, and
+    a group that has none but such is all responses. Pages of one id are all responses if it is the largest. Payloads and URLs are
+    kept whole, whatever their length. An empty table makes an empty archive; other columns are ignored, whatever their names.
 
     Payloads are compared by digest, in a small table with partial aggregation; digests of several pages are joined back to
     the pages, in a skewed join, which adaptive execution splits, if they are too many to broadcast.
@@ -368,21 +390,20 @@ def write_pages(pages: DataFrame, path: str, scratch: Scratch, **columns) -> Non
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record; those of responses are found from the payload."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each response and revisit record.
+
+    Responses are read with their payloads, from which size and digest are found; revisits in a scan of headers alone. Both ask for
+    their type of record, which the reader decides by the headers, so of other records nothing more is inflated.
+    """
     register(spark)
     found = spark.read.format("warc").load(path)
-    response = F.col("record_type") == "response"
 
     def number(c: str):
-        return F.expr(f"try_cast(substring({c}, {len(PREFIX) + 1}) as bigint)")
-
-    return found.select(
-        number("record_id").alias("page_id"),
-        F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(response, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type",
-        number("refers_to").alias("refers_to"),
-    )
+        return F.expr(f"try_cast(substring({c}, {len(PREFIX) + 1}) as bigint)").alias({"record_id": "page_id"}.get(c, c))
+
+    whole = found.where("record_type = 'response'").select(number("record_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", number("refers_to"))
+    heads = spark.read.format("warc").schema(SCHEMA.rpartition(",")[0]).load(path).where("record_type = 'revisit'")
+    return whole.unionByName(heads.select(number("record_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to")))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
