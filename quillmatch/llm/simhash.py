@@ -98,8 +98,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Copies share a fingerprint and are counted as one node, so a large group of copies adds no links. Texts without
     words share fingerprint zero and are linked like any other. Repeated rows give repeated rows. A null id is
-    ignored in the minimum, so a group of null ids only has a null component_id. Empty tables give empty results.
-    Other columns are ignored.
+    ignored in the minimum, so a group of null ids only has a null component_id. Whole texts are hashed, whatever their length.
+    Empty tables give empty results. Other columns are ignored, whatever their names.
     """
     return grouped(docs, doc_id, text, words, radius).drop("root")
 
@@ -107,11 +107,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of near duplicates: the one with the smallest id, null last, then row hash.
 
-    Rows that are equal in id and text are one document here and stay together; exact deduplication comes before.
+    Rows that are equal in id and text are one document here and stay together; exact deduplication comes before. Null texts
+    count as empty; an empty table stays empty; all columns stay, whatever their names.
     """
     scratch = Scratch(docs.sparkSession)
     found = scratch.keep(grouped(docs, doc_id, text).select(doc_id, "_row_hash", "root"), "found")
-    return first_of_each(docs, found, scratch, doc_id)
+    return first_of_each(docs, found, scratch, doc_id, text)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
