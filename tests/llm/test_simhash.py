@@ -56,7 +56,7 @@ def test_query_against_brute_force(spark):
 def test_edge_cases(spark):
     texts = [None, "", " \n\t", "One", "one two", "ONE TWO", "É a b c", "x " * 70_000]
     for t in texts:
-        assert simhash.simhash(t) == signed(fingerprint(t)) if t is None or len(t) < 1000 else True
+        assert simhash.simhash(t) == signed(fingerprint(t))
     rows = [(i, t, "clash", i) for i, t in enumerate(texts)] + [(5, "ONE TWO", "clash", 9)]
     got = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(got) == len(rows)

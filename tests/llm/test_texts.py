@@ -120,6 +120,67 @@ def test_sliding_entropy_against_counting_anew():
             assert abs(h + sum(w.count(c) / 20 * log2(w.count(c) / 20) for c in set(w))) < 1e-9
 
 
+def plain_entropy(text, base):
+    """Added spans by trying every window of every run of a class anew."""
+
+    def entropy(w):
+        return -sum(w.count(c) / len(w) * log2(w.count(c) / len(w)) for c in set(w))
+
+    def random_run(s, least):
+        windows = [s[i : i + 20] for i in range(len(s) - 19)]
+        return any(map(str.isdigit, s)) and any(map(str.isalpha, s)) and any(entropy(w) >= least - 1e-9 for w in windows)
+
+    def listed(s):
+        uuid = re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", s)
+        return uuid or any(x in s.lower() for x in ("example", "placeholder", "changeme", "dummy", "xxxx", "1234567890", "abcdefgh"))
+
+    def of(a, b, kind):
+        pattern, least = ((r"[0-9A-Za-z+/_-]{20,}={0,2}", 3.7), (r"[0-9A-Za-z]{20,}", 3.6), (r"[0-9A-Fa-f]{20,}", 3.0))[kind]
+        for m in re.finditer(pattern, text[a:b]):
+            x, y = a + m.start(), a + m.end()
+            if random_run(text[x:y], least) and not listed(text[x:y]):
+                yield x, y
+            elif kind < 2:
+                yield from of(x, y, kind + 1)
+
+    covered = {i for x, _, y in base for i in range(x, y)}
+    touching = {i for x, _, y in base for i in range(x, y + 1)}
+    for a, b in of(0, len(text), 0):
+        if not (set(range(a, b)) <= covered | (touching & {i for i in range(a, b) if i in covered or (i in touching and i - 1 in covered and i in covered)})):
+            yield a, 3, b
+
+
+def test_all_spans_against_trying_every_window():
+    r = random.Random(7)
+    parts = ["password=", "KEY=", "deadBEEF09" * 3, "AKIA", "ABCDEFGH12345678", "/", "-", "==", " ", "example", "é", "\n", "0f" * 13, "123e4567-e89b-12d3-a456-426614174000"]
+    for _ in range(1500):
+        t = "".join(r.choice(parts) if r.random() < 0.5 else "".join(r.choices("abcdefXYZ0123456789+/", k=r.randint(1, 30))) for _ in range(r.randint(1, 9)))
+        base = plain_base(t)
+        assert secrets.scan(t)[1] == sorted(base + list(plain_entropy(t, base))), t
+
+
+def test_all_spans_of_the_table_against_trying_every_window(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    for r in secrets.op7_secrets(spark, DATA).collect():
+        base = plain_base(docs[r.doc_id])
+        assert r.spans == secrets.told(base + list(plain_entropy(docs[r.doc_id], base)))
+
+
+def test_each_class_is_judged_by_its_own_entropy():
+    key = "".join(random.Random(1).choices("0123456789ABCDEF", k=40))
+    assert secrets.scan(f"KEY={key}")[1] == [(4, 3, 44)]
+    assert secrets.scan("/example/path/" + (s := "kR9xQ2vT7mZ4pL8wB3nYc"))[1] == [(14, 3, 14 + len(s))]
+
+
+def test_many_spans_take_no_more_time_each():
+    import time
+
+    text = " ".join(f"{i:024x}" for i in range(100_000)) + " " + "-" * 100_000 + "1a" + " ab1" * 10
+    began = time.perf_counter()
+    assert len(secrets.scan(text)[0]) == 100_000
+    assert time.perf_counter() - began < 30
+
+
 def test_entropy_adds_secrets_and_leaves_look_alikes():
     assert [k for _, k, _ in secrets.scan("key kR9xQ2vT7mZ4pL8wB3nY here")[1]] == [3]
     for text in ("123e4567-e89b-12d3-a456-426614174000", "path/to/some/longer/folder/name", "2024-01-02-03-04-05-06-07-08", "AbExample1234567890abcdefgh", "zzzzzzzzzzzzzzzzzzzzzzzzz1"):
@@ -146,16 +207,58 @@ def test_secret_query_against_plain_patterns(spark):
 # --- quality --------------------------------------------------------------------------------------------------------------
 
 
-def test_order_of_rules_changes_no_verdict(spark):
+def test_order_of_rules_follows_rejection_per_cost_and_changes_no_verdict(spark):
     slow = quality.Rule("slow", lambda t: sum(range(20_000)) < 0)
-    order = [r.name for r in quality.ordered([slow, *quality.RULES], frame(spark, [(i, "%%% a b " * 40) for i in range(5)]), "text")]
-    assert order[0] == "symbols" and order.index("slow") > 0
+    cascade = quality.Cascade([slow, *quality.RULES], rows=4, step=2)
+    for i in range(10):
+        assert cascade.failing(quality.Text("%%% a b " * 40)) == "symbols"
+        assert cascade.order[0].name == "symbols" and cascade.order[-1].name == "slow"
+    assert cascade.sampled == 4
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     a = {(r.doc_id, r.kept) for r in quality.judged(docs).collect()}
     assert a == {(r.doc_id, r.kept) for r in quality.judged(docs, rules=quality.RULES[::-1], sample_rows=1).collect()}
     assert {i for i, k in a if k} == {r.doc_id for r in quality.keep_good(docs).collect()}
 
 
+def test_no_rule_is_tried_after_a_rejection():
+    tried = []
+
+    def rule(name, verdict):
+        return quality.Rule(name, lambda t: tried.append(name) or verdict)
+
+    cascade = quality.Cascade([rule("a", False), rule("b", True), rule("c", True)], rows=0)
+    assert cascade.failing(quality.Text("x")) == "b" and tried == ["a", "b"]
+    text = quality.Text("some words here")
+    assert not quality.RULES[1].rejects(text) and "n_repeat_words" not in text._found
+
+
+def test_each_rule_of_the_cascade_rejects_something():
+    prose = " ".join(f"word{i}" for i in range(60))
+    assert quality.failing(quality.Text(prose), quality.KEEP) is None and quality.failing(quality.Text("Short."), quality.KEEP) is None
+    bad = {
+        "empty": " \n",
+        "repeated": "one two three " * 30,
+        "symbols": prose + " |" * 20,
+        "exclaims": prose + "!" * 20,
+        "broken": prose + "\ufffd" * 20,
+        "lines": "\n".join(["a b"] * 9 + [f"x{i} y{i}" for i in range(3)]),
+        "bullets": "\n".join(f" - point{i} of{i}" for i in range(20)),
+        "teasers": "\n".join(f"news{i} of{i} ..." for i in range(20)),
+        "letters": " ".join(str(i) for i in range(60)),
+        "one_word": " ".join(f"la w{i}" for i in range(60)),
+    }
+    by = {r.name: r for r in quality.KEEP}
+    assert set(by) == set(bad) and all(by[n].rejects(quality.Text(t)) for n, t in bad.items())
+
+
+def test_clean_labelled_documents_stay_in_the_pipeline(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(labels, "doc_id")
+    kept = quality.keep_good(docs, rules=quality.KEEP)
+    assert kept.where("quality = 1").count() == docs.where("quality = 1").count()
+    assert kept.where("quality = 0").count() <= 0.1 * docs.where("quality = 0").count()
+
+
 def test_labelled_documents(spark):
     """Documents labelled good are kept, but for short or repeated ones, which the base rejects; most labelled bad go."""
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
