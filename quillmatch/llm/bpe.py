@@ -32,9 +32,9 @@ LATER = {
 SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 SMALL |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 
-CACHED = 400_000
+CACHED = 200_000
 #: Texts are encoded in groups of so many bytes, or one longer text.
-GROUP_BYTES = 4_000_000
+GROUP_BYTES = 1_000_000
 
 
 @cache

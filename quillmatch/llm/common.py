@@ -12,14 +12,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmatch.functions.ship import shared_dir, ship
+from quillmatch.functions import ship as _ship
+from quillmatch.functions.ship import shared_dir
 
 __all__ = ["BLANKS", "WORD", "Bloom", "Scratch", "same_row", "shared_dir", "ship", "table", "unused", "with_row_hash", "without_rows", "word_count"]
 
+#: Rows and bytes of an Arrow batch, if the session has Spark's defaults: texts may be long, and workers share an executor's memory.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, and makes their batches small."""
+    _ship.ship(spark)
+    for name, (default, less) in BATCHES.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, less)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

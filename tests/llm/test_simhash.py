@@ -6,7 +6,7 @@ import xxhash
 
 from quillmatch.llm import simhash
 from quillmatch.llm.common import Scratch
-from quillmatch.llm.components import connected_components
+from quillmatch.llm.components import connected_components, more_linked
 from tests.conftest import DATA
 
 SCHEMA = "doc_id long, text string, fp string, component_id long"
@@ -79,8 +79,12 @@ def test_links_find_every_pair_within_two_bits(spark):
 def test_components_of_chains_stars_and_nothing(spark):
     chain = [(i, i + 1) for i in range(60)]
     star = [(1000, i) for i in range(1001, 1400)]
-    got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain + star + [(5, 5)], "u long, v long"), Scratch(spark)).collect()}
-    assert {got[i] for i in range(61)} == {0} and {got[i] for i in range(1000, 1400)} == {1000}
+    for small in (0, 10_000):
+        got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain + star + [(5, 5)], "u long, v long"), Scratch(spark), small=small).collect()}
+        assert {got[i] for i in range(61)} == {0} and {got[i] for i in range(1000, 1400)} == {1000}
+    first = Scratch(spark).keep(connected_components(spark.createDataFrame(chain[:20] + star, "u long, v long"), Scratch(spark)), "first")
+    more = {r.node: r.root for r in more_linked(first, spark.createDataFrame([*chain[20:], (1005, 60), (7, 3)], "u long, v long"), Scratch(spark), "more").collect()}
+    assert set(more) == {*range(61), *range(1000, 1400)} and set(more.values()) == {0}
     assert connected_components(spark.createDataFrame([], "u long, v long"), Scratch(spark)).count() == 0
 
 
