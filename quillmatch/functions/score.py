@@ -20,11 +20,6 @@ def confidence(kind: Column, idf_sum: Column, title_hits: Column, raw_length: Co
     return F.least(F.rint(combined * 100), F.lit(99.0)).cast("int")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Dot product of unit vectors in double precision."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def legacy_confidence(stored: Column, score: Column) -> Column:
     return F.coalesce(stored, F.least(score * 8, F.lit(99)))
 

@@ -6,7 +6,9 @@ import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from urllib.parse import unquote, urlsplit
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
@@ -42,3 +44,23 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/quillmatch-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Sent:
+    """The rows of df as Parquet files that Python workers read, without a copy in the driver.
+
+    They are in the shared folder. Where that is mounted as files, workers read them there; from another store Spark sends them to
+    each executor once.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.path = f"{shared_dir(df.sparkSession).rstrip('/')}/quillmatch-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.mounted = urlsplit(self.path).scheme in ("", "file")
+        if not self.mounted:
+            df.sparkSession.sparkContext.addFile(self.path, recursive=True)
+        ship(df.sparkSession)
+
+    def here(self) -> str:
+        """The folder, for a worker."""
+        return unquote(urlsplit(self.path).path) if self.mounted else SparkFiles.get(self.path.rsplit("/", 1)[1])

@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 
 # Words that carry no topic in prose, and words that only add noise when they stand alone.
 PROSE_STOPS = (
-    "with that this from have been they their which will also more than when some into other were after about these both such very "
-    "through between during multiple several currently previously including focused focuses working worked studies studying trained "
-    "training received completed joined using university maryland school medicine department division section faculty professor "
-    "assistant associate adjunct fellow instructor member staff board certified interested interests interest area areas field fields "
-    "include includes included focus research laboratory lab group team project projects program programs study approach approaches"
-).split()
-LONE_NOISE = "also thus role such lead leads novel known using used well with both than when where which have been they their from that this".split()
+    "with", "that", "this", "from", "have", "been", "they", "their", "which", "will", "also", "more", "than", "when", "some", "into",
+    "other", "were", "after", "about", "these", "both", "such", "very", "through", "between", "during", "multiple", "several",
+    "currently", "previously", "including", "focused", "focuses", "working", "worked", "studies", "studying", "trained", "training",
+    "received", "completed", "joined", "using", "university", "maryland", "school", "medicine", "department", "division", "section",
+    "faculty", "professor", "assistant", "associate", "adjunct", "fellow", "instructor", "member", "staff", "board", "certified",
+    "interested", "interests", "interest", "area", "areas", "field", "fields", "include", "includes", "included", "focus", "research",
+    "laboratory", "lab", "group", "team", "project", "projects", "program", "programs", "study", "approach", "approaches",
+)
+LONE_NOISE = (
+    "also", "thus", "role", "such", "lead", "leads", "novel", "known", "using", "used", "well", "with", "both", "than", "when", "where",
+    "which", "have", "been", "they", "their", "from", "that", "this",
+)
 
 
 def normalize(c: Column) -> Column:
@@ -132,7 +137,10 @@ def _series(items: Column) -> Column:
 
 
 def profile_sentence(name: Column, department: Column, keywords: Column, most: int = 40) -> Column:
-    """A profile as prose for embedding: an opening by name and department, then the first ``most`` keywords."""
+    """A profile as prose for embedding: an opening by name and department, then the first ``most`` keywords.
+
+    The sentences are fixed values, as vectors follow from them.
+    """
     name, department = F.coalesce(name, F.lit("")), F.coalesce(department, F.lit(""))
     opening = (
         F.when((name != "") & (department != ""), F.concat(name, F.lit(" is a researcher in "), department, F.lit(".")))

@@ -6,16 +6,17 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.dataset
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmatch.functions import score as S
 from quillmatch.functions import text as T
-from quillmatch.functions.ship import kept
+from quillmatch.functions.ship import Sent, kept
 from quillmatch.plans.config import Config
 
-#: Profile vectors that are broadcast at once; more are joined block by block.
-BLOCK_ROWS = 50_000
+#: Profile vectors that a task has in memory at once, and similarities of which it has at most so many.
+BLOCK_ROWS, BLOCK_CELLS = 50_000, 16_000_000
 
 
 # --- keyword statistics -----------------------------------------------------------------------------------------------------
@@ -27,6 +28,12 @@ def faculty_keywords(faculty: DataFrame) -> DataFrame:
     return exploded.withColumn("kw", T.keyword_key(F.col("raw"))).where("kw <> ''")
 
 
+def last_of_name(faculty: DataFrame) -> DataFrame:
+    """Of profiles of one name the last by ``pos``, which is the one that matches."""
+    last = faculty.groupBy("name").agg(F.max("pos").alias("pos"))
+    return faculty.join(last, ["name", "pos"], "left_semi")
+
+
 def idf_table(faculty: DataFrame, owned: DataFrame | None = None) -> DataFrame:
     """(kw, df, idf) with idf = ln(N / df); N counts all profiles, df the profiles that have the keyword."""
     owned = faculty_keywords(faculty) if owned is None else owned
@@ -67,95 +74,162 @@ def grant_keywords(grants: DataFrame, keywords: DataFrame) -> DataFrame:
     """(id, kw, in_title, text_length) for each keyword of the dictionary that stands in an opportunity's text.
 
     Both are normalised. Texts fall into distinct tokens, which meet the first tokens of keywords in an equi-join; a keyword of one
-    token then is there. Only candidates of longer keywords are joined back to the texts, to be looked up.
+    token then is there. Only candidates of longer keywords are joined back to the texts, to be looked up. What moves with
+    a token is two numbers.
     """
     g = grants.select("id", T.normalize(F.col("searchable_text")).alias("text"), T.normalize(F.col("title")).alias("title"))
-    tokens = g.select("id", F.explode(F.array_distinct(F.split("text", " +"))).alias("token"), "title", F.length("text").alias("text_length")).where("token <> ''")
+    tokens = g.select("id", F.explode(F.array_distinct(F.split("text", " +"))).alias("token"), F.split("title", " +").alias("title"), F.length("text").alias("text_length")).where("token <> ''")
+    tokens = tokens.select("id", "token", F.array_contains("title", F.col("token")).cast("int").alias("in_title"), "text_length")
     heads = keywords.select("kw", F.split("kw", " +")[0].alias("token"), F.contains("kw", F.lit(" ")).alias("long"))
     met = tokens.join(heads, "token")
-    met = met.select("id", "kw", "long", T.has_phrase(F.col("title"), F.col("kw")).cast("int").alias("in_title"), "text_length")
-    found = met.where("long").join(g.select("id", "text"), "id").where(T.has_phrase(F.col("text"), F.col("kw"))).drop("text", "long")
-    return met.where("not long").drop("long").unionByName(found)
+    found = met.where("long").select("id", "kw", "text_length").join(g, "id").where(T.has_phrase(F.col("text"), F.col("kw")))
+    found = found.select("id", "kw", T.has_phrase(F.col("title"), F.col("kw")).cast("int").alias("in_title"), "text_length")
+    return met.where("not long").select("id", "kw", "in_title", "text_length").unionByName(found)
+
+
+class KeywordPass:
+    """The keyword pass of a run: what follows from profiles alone is made once and kept."""
+
+    def __init__(self, grants: DataFrame, faculty: DataFrame, config: Config, idf: DataFrame | None = None):
+        """(id, kw, ...) of ``hits`` and (name, kw, ...) of ``owned``, which meet by keyword."""
+        every = kept(faculty_keywords(faculty).select("fpos", "name", "raw", "kw"))
+        good = kept(eligible_keywords(kept(idf_table(faculty, every)) if idf is None else idf, config))
+        last = faculty.groupBy("name").agg(F.max("pos").alias("fpos"))
+        owned = every.join(last, ["name", "fpos"], "left_semi").groupBy("name", "kw").agg(F.count("*").alias("times"), F.sum(F.length("raw")).alias("raw_length"), F.sort_array(F.collect_set("raw")).alias("raws"))
+        self.owned = kept(owned.join(good, "kw").withColumn("forms", F.size("raws")).withColumn("forms_length", F.length(F.array_join("raws", ""))))
+        self.hits = kept(grant_keywords(grants, good.select("kw")))
+
+    def scores(self, lists: bool = False) -> DataFrame:
+        """(id, name, n_keywords, n_matched, title_hits, match_score, confidence_score, terms of the score) for each pair with a keyword.
+
+        A keyword that a profile lists twice counts twice in these and once in n_keywords, the number of different ones; the terms for
+        pairs that match by both ways, ``once_``, count different ones. Pairs are added up as numbers, before and after
+        the shuffle; ``lists`` adds the keywords themselves, for all pairs.
+        """
+        pairs = self.hits.join(self.owned if lists else self.owned.drop("raws"), "kw")
+        idf = F.least("idf", F.lit(5.0))
+        per = pairs.groupBy("id", "name").agg(
+            F.sum("forms").alias("n_keywords"),
+            F.sum("times").alias("n_matched"),
+            F.sum(F.col("in_title") * F.col("times")).alias("title_hits"),
+            F.sum(idf * F.col("times")).alias("idf_sum"),
+            F.sum("raw_length").alias("raw_length"),
+            F.sum(F.col("in_title") * F.col("forms")).alias("once_title_hits"),
+            F.sum(idf * F.col("forms")).alias("once_idf_sum"),
+            F.sum("forms_length").alias("once_raw_length"),
+            F.max("text_length").alias("text_length"),
+            *([F.sort_array(F.flatten(F.collect_list("raws"))).alias("matched_keywords")] if lists else []),
+        )
+        conf = S.confidence(F.lit("keyword"), F.col("idf_sum"), F.col("title_hits"), F.col("raw_length"), F.col("text_length"), F.lit(0.0))
+        return per.withColumn("match_score", F.col("n_matched") + F.col("title_hits")).withColumn("confidence_score", conf)
 
+    def with_keywords(self, matches: DataFrame) -> DataFrame:
+        """matches, few of all pairs, with their keywords in ``matched_keywords``; an empty list where a pair has none."""
+        few = matches.where("match_type <> 'semantic'").select("id", "name")
+        lists = self.hits.select("id", "kw").join(few, "id").join(self.owned.select("name", "kw", "raws"), ["name", "kw"])
+        lists = lists.groupBy("id", "name").agg(F.sort_array(F.flatten(F.collect_list("raws"))).alias("matched_keywords"))
+        out = matches.join(lists, ["id", "name"], "left")
+        return out.withColumn("matched_keywords", F.coalesce("matched_keywords", F.array().cast("array<string>")))
 
-def keyword_matches(grants: DataFrame, faculty: DataFrame, config: Config, idf: DataFrame | None = None) -> DataFrame:
-    """(id, name, matched_keywords, n_matched, title_hits, match_score, confidence_score) for each pair with a keyword.
 
-    A keyword that a profile lists twice counts twice in scores and once in matched_keywords. Of profiles of the same name the last
-    one stands. What follows from profiles alone, the dictionary of keywords, is made once and kept.
-    """
-    every = kept(faculty_keywords(faculty))
-    good = kept(eligible_keywords(kept(idf_table(faculty, every)) if idf is None else idf, config))
-    owned = every.join(good, "kw")
-    pairs = grant_keywords(grants, good.select("kw")).join(owned, "kw")
-    per = pairs.groupBy("id", "name", "fpos").agg(
-        F.sort_array(F.collect_set("raw")).alias("matched_keywords"),
-        F.count("*").alias("n_matched"),
-        F.sum("in_title").alias("title_hits"),
-        F.sum(F.least("idf", F.lit(5.0))).alias("idf_sum"),
-        F.sum(F.length("raw")).alias("raw_length"),
-        F.max("text_length").alias("text_length"),
-    )
-    rest = [c for c in per.columns if c not in ("id", "name", "fpos")]
-    per = per.groupBy("id", "name").agg(F.max_by(F.struct(*rest), "fpos").alias("m")).select("id", "name", "m.*")
-    conf = S.confidence(F.lit("keyword"), F.col("idf_sum"), F.col("title_hits"), F.col("raw_length"), F.col("text_length"), F.lit(0.0))
-    return per.select("id", "name", "matched_keywords", "n_matched", "title_hits", (F.col("n_matched") + F.col("title_hits")).alias("match_score"), conf.alias("confidence_score"), "idf_sum", "raw_length", "text_length")
+def keyword_matches(grants: DataFrame, faculty: DataFrame, config: Config, idf: DataFrame | None = None) -> DataFrame:
+    """``KeywordPass.scores`` of all pairs with their keywords."""
+    return KeywordPass(grants, faculty, config, idf).scores(lists=True)
 
 
 # --- semantic join ------------------------------------------------------------------------------------------------------------
 
 
+def profile_vectors(faculty: DataFrame) -> Sent:
+    """(name, embedding) of the last profile of each name, as files that tasks read block by block."""
+    return Sent(last_of_name(faculty).where("embedding is not null").select("name", F.col("embedding").cast("array<double>").alias("embedding")))
+
+
+def _blocks(at: str, rows: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Names and matrix of blocks of so many vectors."""
+    for b in pyarrow.dataset.dataset(at, format="parquet").to_batches(batch_size=rows):
+        if b.num_rows:
+            yield b.column("name"), b.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+
+
+def _vectors_of(vectors: DataFrame) -> DataFrame:
+    return vectors.where("embedding is not null").select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+
+
 def semantic_matches(vectors: DataFrame, faculty: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, name, similarity_score) for each pair of at least that cosine, in double precision.
 
-    Opportunities' vectors stay where they are; profiles' vectors are broadcast as a matrix, in blocks of a fixed number of rows, and
-    each batch is one product of matrices. Rows without a vector match nothing.
+    Opportunities' vectors stay where they are. Profiles' vectors are files that each task reads, a block of a fixed number of rows at a
+    time, so neither the driver nor a worker has them all in memory; a block and a batch are one product of matrices. Rows
+    without a vector match nothing. Of profiles of one name the last counts.
     """
-    spark = vectors.sparkSession
-    with_vector = kept(faculty.where("embedding is not null").select("name", F.col("embedding").cast("array<double>").alias("embedding"), F.hash("name").alias("_h")))
-    n = with_vector.count()
-    blocks = max(1, -(-n // block_rows))
+    sent = profile_vectors(faculty)
     kind = vectors.schema["id"].dataType.simpleString()
 
-    def joined(block: int) -> DataFrame:
-        rows = with_vector if blocks == 1 else with_vector.where(F.pmod("_h", F.lit(blocks)) == block)
-        few = rows.select("name", "embedding").toArrow()
-        names = few.column("name").combine_chunks()
-        matrix = np.stack(few.column("embedding").to_numpy(zero_copy_only=False)) if len(names) else np.zeros((0, 1))
-        sent = spark.sparkContext.broadcast((names, matrix))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            who, m = sent.value
-            for b in batches:
-                if not b.num_rows or not len(who):
-                    continue
-                flat = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                for at in range(0, b.num_rows, 512):
-                    sims = flat[at : at + 512] @ m.T
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            for who, m in _blocks(sent.here(), block_rows):
+                step = max(1, BLOCK_CELLS // len(m))
+                for at in range(0, b.num_rows, step):
+                    sims = flat[at : at + step] @ m.T
                     i, j = np.nonzero(sims >= threshold)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i + at)), who.take(pa.array(j)), pa.array(sims[i, j])], names=["id", "name", "similarity_score"])
 
-        return vectors.where("embedding is not null").select("id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, f"id {kind}, name string, similarity_score double")
-
-    out = joined(0)
-    for block in range(1, blocks):
-        out = out.unionByName(joined(block))
-    return out
-
-
-def semantic_distribution(vectors: DataFrame, faculty: DataFrame, threshold: float) -> DataFrame:
-    """For each opportunity the similarities to all profiles with a vector: largest, quantiles, counts, the five best."""
-    sims = semantic_matches(vectors, faculty, -2.0)
-    s = F.col("similarity_score")
-    return sims.groupBy("id").agg(
-        F.max(s).alias("max_sim"),
-        F.percentile(s, 0.95).alias("p95"),
-        F.percentile(s, 0.90).alias("p90"),
-        F.percentile(s, 0.50).alias("median"),
-        F.count_if(s >= threshold).alias("n_threshold"),
-        *(F.count_if(s >= x / 100).alias(f"n_{x}") for x in (50, 55, 60, 65)),
-        F.slice(F.sort_array(F.collect_list(F.struct(s.alias("similarity_score"), "name")), asc=False), 1, 5).alias("top"),
-    )
+    return _vectors_of(vectors).mapInArrow(run, f"id {kind}, name string, similarity_score double")
+
+
+QUANTILES = {"p95": 0.95, "p90": 0.90, "median": 0.50}
+BOUNDS = (50, 55, 60, 65)
+
+
+def quantile(rows: np.ndarray, share: float) -> np.ndarray:
+    """Of each row the value at that share of its sorted values, between two in proportion."""
+    at = share * (rows.shape[1] - 1)
+    low, high = int(np.floor(at)), int(np.ceil(at))
+    found = np.partition(rows, (low, high), axis=1)
+    return found[:, low] if low == high else (high - at) * found[:, low] + (at - low) * found[:, high]
+
+
+def semantic_distribution(vectors: DataFrame, faculty: DataFrame, threshold: float, best: int = 5) -> DataFrame:
+    """For each opportunity the similarities to all profiles with a vector: largest, quantiles, counts, the best with their names.
+
+    A task has the similarities of some opportunities to all profiles at once and gives one row for each; no pair leaves it. Equal
+    similarities go by name, the last first. Without profiles there is no row.
+    """
+    sent = profile_vectors(faculty)
+    kind = vectors.schema["id"].dataType.simpleString()
+    counts = ("n_threshold", *(f"n_{x}" for x in BOUNDS))
+    schema = f"id {kind}, max_sim double, {', '.join(f'{q} double' for q in QUANTILES)}, {', '.join(f'{c} long' for c in counts)}, top array<struct<similarity_score:double,name:string>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = None
+        for b in batches:
+            n = pyarrow.dataset.dataset(sent.here(), format="parquet").count_rows() if n is None else n
+            if not b.num_rows or not n:
+                continue
+            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            step = max(1, BLOCK_CELLS // n)
+            for at in range(0, b.num_rows, step):
+                part = flat[at : at + step]
+                sims, names = np.empty((len(part), n)), []
+                for who, m in _blocks(sent.here(), BLOCK_ROWS):
+                    done = sum(map(len, names))
+                    sims[:, done : done + len(m)] = part @ m.T
+                    names.append(who)
+                who = np.array(pa.concat_arrays(names).to_pylist(), dtype=object)
+                top = []
+                for row in sims:
+                    least = np.partition(row, max(0, n - best))[max(0, n - best)]
+                    top.append([{"similarity_score": s, "name": w} for s, w in sorted(((row[j], who[j]) for j in np.flatnonzero(row >= least)), reverse=True)[:best]])
+                columns = [b.column(0).slice(at, len(part)), pa.array(sims.max(axis=1)), *(pa.array(quantile(sims, q)) for q in QUANTILES.values())]
+                columns += [pa.array((sims >= x).sum(axis=1), pa.int64()) for x in (threshold, *(x / 100 for x in BOUNDS))]
+                kind_of_top = pa.list_(pa.struct([("similarity_score", pa.float64()), ("name", pa.string())]))
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(top, kind_of_top)], names=["id", "max_sim", *QUANTILES, *counts, "top"])
+
+    return _vectors_of(vectors).mapInArrow(run, schema)
 
 
 # --- merge, filters, order ----------------------------------------------------------------------------------------------------
@@ -165,34 +239,26 @@ def merged(keyword: DataFrame, semantic: DataFrame, full: bool = False) -> DataF
     """Keyword and semantic pairs in one table with match_type.
 
     As a run works, pairs with a keyword are no semantic pairs, so both never occurs. With ``full`` a pair in both tables becomes
-    one row of type both, scored anew.
+    one row of type both, scored anew by its different keywords.
     """
     if not full:
         semantic = semantic.join(keyword.select("id", "name"), ["id", "name"], "left_anti")
     joined = keyword.withColumn("k", F.lit(True)).join(semantic, ["id", "name"], "full_outer")
     kind = F.when(F.col("k") & F.col("similarity_score").isNotNull(), "both").when(F.col("k"), "keyword").otherwise("semantic")
-    sim = F.coalesce("similarity_score", F.lit(0.0))
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("idf_sum", "title_hits", "raw_length", "text_length", "n_matched")}
-    conf = S.confidence(F.col("match_type"), zero["idf_sum"], zero["title_hits"], zero["raw_length"], zero["text_length"], F.col("similarity_score"))
-    return (
-        joined.withColumn("match_type", kind)
-        .withColumn("similarity_score", sim)
-        .select(
-            "id",
-            "name",
-            "match_type",
-            F.coalesce("matched_keywords", F.array().cast("array<string>")).alias("matched_keywords"),
-            F.coalesce("match_score", F.lit(0)).cast("long").alias("match_score"),
-            "similarity_score",
-            conf.alias("confidence_score"),
-        )
-    )
+
+    def term(c: str) -> Column:
+        return F.coalesce(F.when(F.col("match_type") == "both", F.col(f"once_{c}")).otherwise(F.col(c)), F.lit(0))
+
+    conf = S.confidence(F.col("match_type"), term("idf_sum"), term("title_hits"), term("raw_length"), F.coalesce("text_length", F.lit(0)), F.col("similarity_score"))
+    score = F.coalesce("match_score", F.lit(0)).cast("long")
+    out = joined.withColumn("match_type", kind).withColumn("similarity_score", F.coalesce("similarity_score", F.lit(0.0)))
+    return out.select("id", "name", "match_type", F.coalesce("n_keywords", F.lit(0)).alias("n_keywords"), score.alias("match_score"), "similarity_score", conf.alias("confidence_score"))
 
 
 def strong(matches: DataFrame, config: Config) -> DataFrame:
     """Matches of enough confidence, and of these keyword matches with two keywords or more confidence still."""
     out = matches.where(F.col("confidence_score") >= config.min_confidence) if config.min_confidence else matches
-    return out.where((F.col("match_type") != "keyword") | (F.size("matched_keywords") >= 2) | (F.col("confidence_score") >= config.lone_keyword_confidence))
+    return out.where((F.col("match_type") != "keyword") | (F.col("n_keywords") >= 2) | (F.col("confidence_score") >= config.lone_keyword_confidence))
 
 
 ORDER = "confidence_score desc, case match_type when 'both' then 0 when 'keyword' then 1 else 2 end, similarity_score desc, name"
@@ -205,16 +271,21 @@ def top_per_grant(matches: DataFrame, most: int) -> DataFrame:
 
 
 def match_table(grants: DataFrame, faculty: DataFrame, vectors: DataFrame | None, config: Config) -> DataFrame:
-    """The persisted form of a run's matches. ``pos`` orders rows newest first; without vectors there are keyword matches only."""
+    """The persisted form of a run's matches. ``pos`` orders rows newest first; without vectors there are keyword matches only.
+
+    Of profiles of one name the last matches and gives the department. Keywords are looked up for the matches that are left at the end.
+    """
     faculty = kept(faculty)
-    kw = kept(keyword_matches(grants, faculty, config))
+    run = KeywordPass(grants, faculty, config)
+    kw = kept(run.scores())
     if vectors is None:
         sem = kw.select("id", "name").where("false").withColumn("similarity_score", F.lit(0.0))
     else:
         sem = semantic_matches(vectors, faculty, config.semantic_threshold)
-    best = top_per_grant(strong(merged(kw, sem, config.full_merge), config), config.max_matches)
+    best = kept(top_per_grant(strong(merged(kw, sem, config.full_merge), config), config.max_matches))
+    best = run.with_keywords(best)
     g = grants.select("id", "title", "agency", "number", "link", "close_date", "award_ceiling", F.substring("synopsis", 1, 500).alias("synopsis"), "timestamp", F.col("pos").alias("gpos"))
-    f = faculty.select("name", F.col("department"), F.col("email"), F.col("url"))
+    f = last_of_name(faculty).select("name", F.col("department"), F.col("email"), F.col("url"))
     day = F.datediff(F.lit("2100-01-01").cast("date"), F.to_date(F.substring("timestamp", 1, 10))).cast("long")
     return (
         best.join(g, "id")

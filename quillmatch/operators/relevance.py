@@ -67,10 +67,15 @@ def screening_counts(grants: DataFrame, **options) -> DataFrame:
     )
 
 
+# Names of the project reporters as sources, and a part of their links.
+REPORTERS = ("NIH RePORTER", "Federal RePORTER")
+REPORTER_LINK = "reporter.nih.gov/project-details"
+
+
 def from_reporter() -> Column:
-    """If a row came from the project reporters, by id, source or link."""
-    i, s, u = (F.lower(F.coalesce(c, F.lit(""))) for c in ("grant_id", "source", "grant_link"))
-    return i.startswith("nih-reporter-") | i.startswith("fed-reporter-") | s.contains("reporter") | u.contains("reporter.")
+    """If a row came from the project reporters, by the start of its id, by its source's name or by its link."""
+    i, s, u = (F.coalesce(c, F.lit("")) for c in ("grant_id", "source", "grant_link"))
+    return i.startswith("nih-reporter-") | i.startswith("fed-reporter-") | s.isin(*REPORTERS) | u.contains(REPORTER_LINK)
 
 
 def purged(matches: DataFrame, unwanted: Column) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmatch.functions import text as T
+from quillmatch.functions.ship import kept
 from quillmatch.operators import matching
 from quillmatch.plans.config import Config
 
@@ -84,14 +84,25 @@ def run_matches(spark: SparkSession, sf_dir: str, config: Config = QUERY_CONFIG)
     return matching.match_table(grants(spark, sf_dir), profiles(spark, sf_dir), grant_vectors(spark, sf_dir), config)
 
 
-_kept: dict[tuple[str, str], DataFrame] = {}
+_kept: dict[tuple, DataFrame] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """What tells if the tables that a run reads have changed: lengths and times of their files."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    out = [spark.sparkContext.applicationId]
+    for name in ("documents", "conversations", "embeddings"):
+        at = hadoop.Path(f"{sf_dir}/{name}.parquet")
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        out += [(str(f.getPath()), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)]
+    return tuple(out)
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The match table of a run, which views read; it is made once for each session and folder and kept by executors."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The match table of a run, which views read: written to the shared folder once for a session and a state of its tables."""
+    key = _state(spark, sf_dir)
     if key not in _kept:
         for old in [k for k in _kept if k[0] != key[0]]:
             del _kept[old]
-        _kept[key] = run_matches(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+        _kept[key] = kept(run_matches(spark, sf_dir))
     return _kept[key]

@@ -7,29 +7,29 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 
 # Stop words of the matching step.
-STOP_WORDS = tuple(
-    (
-        "grant grants funding award awards program programs project projects initiative initiatives center centers national federal support "
-        "supporting research study studies analysis data methods methodology approach approaches process processes framework model models "
-        "tool tools assessment evaluation measurement testing examining exploring identifying understanding evidence university science "
-        "sciences medical medicine clinical patient patients human care health healthcare community communities population populations "
-        "individual individuals family families provider providers workforce improving improvement advancing promoting reducing preventing "
-        "prevention addressing enhancing strengthening increasing decreasing developing utilizing applying using based outcomes quality "
-        "effectiveness excellence innovative innovation innovations integrated translational collaborative collaboration disease treatment "
-        "conditions chronic education training intervention interventions service services delivery access equity disparities capacity "
-        "building system systems practice practices policy policies management implementation development precision writing developmental"
-    ).split()
-)
+STOP_WORDS = (
+    "grant", "grants", "funding", "award", "awards", "program", "programs", "project", "projects", "initiative", "initiatives", "center",
+    "centers", "national", "federal", "support", "supporting", "research", "study", "studies", "analysis", "data", "methods",
+    "methodology", "approach", "approaches", "process", "processes", "framework", "model", "models", "tool", "tools", "assessment",
+    "evaluation", "measurement", "testing", "examining", "exploring", "identifying", "understanding", "evidence", "university", "science",
+    "sciences", "medical", "medicine", "clinical", "patient", "patients", "human", "care", "health", "healthcare", "community",
+    "communities", "population", "populations", "individual", "individuals", "family", "families", "provider", "providers", "workforce",
+    "improving", "improvement", "advancing", "promoting", "reducing", "preventing", "prevention", "addressing", "enhancing",
+    "strengthening", "increasing", "decreasing", "developing", "utilizing", "applying", "using", "based", "outcomes", "quality",
+    "effectiveness", "excellence", "innovative", "innovation", "innovations", "integrated", "translational", "collaborative",
+    "collaboration", "disease", "treatment", "conditions", "chronic", "education", "training", "intervention", "interventions", "service",
+    "services", "delivery", "access", "equity", "disparities", "capacity", "building", "system", "systems", "practice", "practices",
+    "policy", "policies", "management", "implementation", "development", "precision", "writing", "developmental",
+)
 
 # Words of notices and mechanisms, which say nothing about a topic.
-ADMIN_WORDS = tuple(
-    (
-        "extension correction change continuation supplement revision existing competitive cooperative temporary urgent notice eligibility "
-        "compliance reissuance reissue update amendment modification announcement award program agreement guide guidance guideline "
-        "information instruction requirement application submission deadline receipt review accounts independence pathway americans "
-        "opportunity initiative resource approach support mechanism"
-    ).split()
-)
+ADMIN_WORDS = (
+    "extension", "correction", "change", "continuation", "supplement", "revision", "existing", "competitive", "cooperative", "temporary",
+    "urgent", "notice", "eligibility", "compliance", "reissuance", "reissue", "update", "amendment", "modification", "announcement",
+    "award", "program", "agreement", "guide", "guidance", "guideline", "information", "instruction", "requirement", "application",
+    "submission", "deadline", "receipt", "review", "accounts", "independence", "pathway", "americans", "opportunity", "initiative",
+    "resource", "approach", "support", "mechanism",
+)
 
 # How titles of notices begin.
 ADMIN_PREFIXES = (

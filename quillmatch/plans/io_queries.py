@@ -32,10 +32,10 @@ def probe(s, d):
 
 
 def payload_grants(s, d):
-    """Opportunities through the main API's payload form, a payload for each source."""
+    """Opportunities through the main API's payload form, payloads of a hundred of a source as the API gives them."""
     i = F.col("doc_id")
     hit = F.struct(i.cast("string").alias("id"), F.when(i % 4 != 0, F.col("title")).alias("title"), F.when(i % 3 == 0, F.col("source")).alias("agency"), F.concat(F.lit("C"), F.col("source")).alias("agencyCode"), F.when(i % 2 == 0, F.substring("title", 1, 20)).alias("synopsis"), F.lit("more").alias("description"))
-    bodies = grants(s, d).groupBy("source").agg(F.to_json(F.struct(F.struct(F.collect_list(hit).alias("oppHits")).alias("data"))).alias("body"))
+    bodies = grants(s, d).groupBy("source", F.floor(i / 100).alias("page")).agg(F.to_json(F.struct(F.struct(F.collect_list(hit).alias("oppHits")).alias("data"))).alias("body"))
     return payloads.main_grants(bodies).select("id", "title", "agency", "synopsis", F.md5("searchable_text").alias("searched"))
 
 
@@ -46,11 +46,11 @@ def feed_items(s, d):
 
 
 def history(s, d):
-    """Two runs put before each other, cut at 500 rows."""
+    """Two runs put before each other, cut at the history's length."""
     path = folder(s) + "/history"
     m = matches(s, d).select("pos", "grant_id", "faculty_name")
-    files.prepend_history(m.where("pos % 2 = 0"), path, 500)
-    files.prepend_history(m.where("pos % 2 = 1"), path, 500)
+    files.prepend_history(m.where("pos % 2 = 0"), path)
+    files.prepend_history(m.where("pos % 2 = 1"), path)
     return s.read.parquet(path).select("gen", "pos", "grant_id", "faculty_name")
 
 
@@ -77,8 +77,8 @@ def _into(spark, stream: DataFrame, mode: str = "append") -> str:
 
 def stream_once(s, d):
     """The first event of each user and type."""
-    e = _stream(s, d, "events").select(F.concat_ws("-", "user_id", "event_type").alias("id"))
-    return s.read.parquet(_into(s, C.once(e))).select("id")
+    e = _stream(s, d, "events").select(F.concat_ws("-", "user_id", "event_type").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    return s.read.parquet(_into(s, C.once(e, time="ts", delay="60 days"))).select("id")
 
 
 def stream_health(s, d):
@@ -94,13 +94,13 @@ def stream_matches(s, d):
     from quillmatch.plans.adapters import QUERY_CONFIG, profiles
 
     top = folder(s)
-    docs = _stream(s, d, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("id"), F.substring("text", 1, 80).alias("title"), F.lower("text").alias("searchable_text"))
+    docs = _stream(s, d, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("id"), F.substring("text", 1, 80).alias("title"), F.lower("text").alias("searchable_text"), F.current_timestamp().alias("arrived"))
 
     def work(batch: DataFrame, n: int) -> None:
-        kw = M.keyword_matches(batch, profiles(batch.sparkSession, d), QUERY_CONFIG)
+        kw = M.KeywordPass(batch, profiles(batch.sparkSession, d), QUERY_CONFIG).scores()
         kw.select("id", "name", "match_score").write.mode("overwrite").parquet(f"{top}/out/batch={n}")
 
-    C.cycle(C.once(docs), work, f"{top}/state").awaitTermination()
+    C.cycle(C.once(docs, time="arrived"), work, f"{top}/state").awaitTermination()
     return s.read.parquet(f"{top}/out").groupBy("name").agg(F.count("*").alias("n"), F.sum("match_score").cast("long").alias("score"))
 
 
@@ -122,12 +122,12 @@ def oracles() -> dict[str, str]:
     from quillmatch.plans.oracles import GRANTS, PM, PP
 
     return {
-        "source_probe": "SELECT page_id, len(regexp_extract_all(html, '(?i)<a [^>]*href'))::BIGINT AS links, length(v)::BIGINT AS visible, length(v) < 500 AS script_rendered FROM (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'), '^ | $', '', 'g') AS v FROM pages)",
+        "source_probe": "SELECT page_id, len(regexp_extract_all(html, '(?i)<a [^>]*href'))::BIGINT AS links, length(v)::BIGINT AS visible, length(v) < 500 AS script_rendered FROM (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', ' ', 'g'), '(?is)<noscript\\b[^>]*>.*?</noscript\\s*>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'), '^ | $', '', 'g') AS v FROM pages)",
         "payload_grants": f"""WITH {GRANTS} SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 4 <> 0 AND title <> '' THEN title ELSE 'Untitled' END AS title, CASE WHEN doc_id % 3 = 0 THEN source ELSE 'C' || source END AS agency,
  CASE WHEN doc_id % 2 = 0 AND title <> '' THEN substr(title, 1, 20) ELSE 'more' END AS synopsis, md5(lower((CASE WHEN doc_id % 4 <> 0 THEN title ELSE 'None' END) || ' ' || (CASE WHEN doc_id % 2 = 0 THEN substr(title, 1, 20) ELSE 'None' END))) AS searched FROM g""",
         "feed_items": "SELECT 'nih-guide-' || substr(md5('NIH Guide|Opening no. ' || page_id || '|https://x.example.org/' || page_id), 1, 12) AS id, 'Opening no. ' || page_id AS title, 'about it' AS synopsis FROM pages",
-        "history": PM + """, h AS (SELECT 1 AS gen, pos, grant_id, faculty_name FROM m WHERE pos % 2 = 0 ORDER BY pos LIMIT 500), n AS (SELECT 0 AS gen, pos, grant_id, faculty_name FROM m WHERE pos % 2 = 1)
-SELECT gen::BIGINT AS gen, pos, grant_id, faculty_name FROM (SELECT * FROM h UNION ALL SELECT * FROM n) ORDER BY gen, pos LIMIT 500""",
+        "history": PM + """, h AS (SELECT 1 AS gen, pos, grant_id, faculty_name FROM m WHERE pos % 2 = 0 ORDER BY pos LIMIT 5000), n AS (SELECT 0 AS gen, pos, grant_id, faculty_name FROM m WHERE pos % 2 = 1)
+SELECT gen::BIGINT AS gen, pos, grant_id, faculty_name FROM (SELECT * FROM h UNION ALL SELECT * FROM n) ORDER BY gen, pos LIMIT 5000""",
         "day_of_matches": PM + "SELECT CASE WHEN substr(faculty_name, 5)::INT % 4 = 0 THEN faculty_name ELSE 'fac' || substr(faculty_name, 5) || '@example.org' END AS faculty_id, grant_id, array_to_string(keywords, ',') AS matched_keywords FROM m WHERE substr(timestamp, 1, 10) = '2024-01-05'",
         "stream_once": "SELECT DISTINCT user_id || '-' || event_type AS id FROM events",
         "stream_health": """WITH r AS (SELECT (user_id % 20)::VARCHAR AS source, event_id AS run, CASE WHEN event_type = 'error' THEN -1 WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS found FROM events),

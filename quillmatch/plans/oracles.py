@@ -77,7 +77,7 @@ SELECT id AS grant_id, name AS faculty_name, len(keywords)::BIGINT AS n_keywords
     "normalize": "SELECT doc_id, md5(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g')) AS normalized FROM documents",
     "text_functions": f"""WITH b AS (SELECT conv_id, turn, role, text, {STOPS} AS stops FROM conversations)
 SELECT conv_id, turn, role, md5(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g')) AS normalized, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS collapsed,
-  (SELECT coalesce(string_agg(w, '|' ORDER BY p), '') FROM (SELECT w, min(i) AS p FROM (SELECT unnest(x) AS w, unnest(range(len(x))) AS i FROM (SELECT regexp_extract_all(lower(substr(b.text, 1, 300)), '[a-z]{{4,}}') AS x)) WHERE NOT list_contains(b.stops, w) GROUP BY w)) AS mined,
+  (SELECT coalesce(string_agg(w, '|' ORDER BY p), '') FROM (SELECT w, min(i) AS p FROM (SELECT unnest(x) AS w, unnest(range(len(x))) AS i FROM (SELECT regexp_extract_all(lower(b.text), '[a-z]{{4,}}') AS x)) WHERE NOT list_contains(b.stops, w) GROUP BY w)) AS mined,
   'my-source-' || substr(md5('My Source|' || substr(text, 1, 20) || '|u'), 1, 12) AS key,
   (SELECT coalesce(string_agg(substr(w, 1, 1), '' ORDER BY i), '') FROM (SELECT w, row_number() OVER (ORDER BY i) AS n, i FROM (SELECT unnest(x) AS w, unnest(range(len(x))) AS i FROM (SELECT string_split_regex(b.text, '[ ,]') AS x)) WHERE w <> '') WHERE n <= 2) AS initials FROM b""",
     "profile_phrases": f"""WITH b AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(regexp_replace(text, '[^a-zA-Z0-9\\- ]', ' ', 'g')), ' +'), lambda t: length(t) >= 3) AS w, {STOPS} AS stops, {LONE} AS lone FROM conversations WHERE role = 'user'),
@@ -153,8 +153,8 @@ o AS (SELECT keyword, dept, count(*) AS n, min(pos) AS p FROM k GROUP BY 1, 2),
     "confidence_quintiles": PM + _spine(["0-20", "20-40", "40-60", "60-80", "80-100"], "SELECT CASE WHEN c < 20 THEN '0-20' WHEN c < 40 THEN '20-40' WHEN c < 60 THEN '40-60' WHEN c < 80 THEN '60-80' ELSE '80-100' END AS label, count(*) AS n FROM (SELECT round_even(CASE match_type WHEN 'semantic' THEN sim * 100 ELSE conf END, 0) AS c FROM m) GROUP BY 1"),
     "digest": PM + "SELECT grant_id, max(conf) AS best, count(*) AS n, any_value(grant_agency) AS agency, CASE WHEN max(conf) >= 60 THEN 'high' WHEN max(conf) >= 35 THEN 'medium' ELSE 'low' END AS band FROM m GROUP BY 1",
     "digest_agencies": PM + "SELECT grant_agency, count(DISTINCT grant_id) AS n FROM m GROUP BY 1 ORDER BY n DESC, grant_agency LIMIT 4",
-    "export_matches": PM + "SELECT grant_id, faculty_name, array_to_string(keywords, '; ') AS matched_keywords, match_type, conf AS confidence_score FROM m WHERE contains(lower(grant_title), 'fac-1') OR contains(faculty_name, 'fac-1')",
-    "export_faculty": PM + ", c AS (SELECT faculty_name AS name, count(*) AS n FROM m GROUP BY 1) SELECT f.name, n_kw::BIGINT AS keyword_count, CASE src WHEN 0 THEN 'Profile page; PubMed' WHEN 1 THEN 'PubMed' ELSE '' END AS sources, coalesce(c.n, 0) AS match_count, coalesce(array_to_string(keywords[1:20], '; '), '') AS keywords FROM f LEFT JOIN c USING (name)",
+    "export_matches": PM + "SELECT m.timestamp, grant_id, grant_title, grant_agency, g.number AS grant_number, m.link AS grant_link, m.close_date AS grant_close_date, m.award_ceiling AS grant_award_ceiling, faculty_name, faculty_department, f.email AS faculty_email, array_to_string(m.keywords, '; ') AS matched_keywords, match_type, match_score::BIGINT AS match_score, conf AS confidence_score FROM m JOIN g ON g.id = m.grant_id JOIN f ON f.name = faculty_name WHERE contains(lower(grant_title), 'fac-1') OR contains(faculty_name, 'fac-1')",
+    "export_faculty": PM + ", c AS (SELECT faculty_name AS name, count(*) AS n FROM m GROUP BY 1) SELECT f.name, f.department, f.email, 'https://people.example.org/' || f.conv_id AS url, n_kw::BIGINT AS keyword_count, CASE src WHEN 0 THEN 'Profile page; PubMed' WHEN 1 THEN 'PubMed' ELSE '' END AS sources, coalesce(c.n, 0) AS match_count, coalesce(array_to_string(keywords[1:20], '; '), '') AS keywords FROM f LEFT JOIN c USING (name)",
     "customer_page": "SELECT c_custkey, c_name, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20 OFFSET 40",
     "confidence_histogram": PM + "SELECT match_type, " + ", ".join(f"count(*) FILTER (conf >= {x}) AS ge_{x}" for x in (20, 25, 30, 35, 40, 45, 50, 60, 70, 80)) + ", round(avg(conf), 1) AS mean FROM m GROUP BY 1",
     "position_stats": PM + ", s AS (SELECT match_type, list(conf ORDER BY conf) AS v, count(*) AS n FROM m GROUP BY 1) SELECT match_type, n AS count, v[1] AS min, v[n] AS max, list_sum(v) / n AS mean, v[n // 4 + 1] AS p25, v[n // 2 + 1] AS p50, v[3 * n // 4 + 1] AS p75 FROM s",

@@ -24,9 +24,9 @@ def bar(c: str):
 
 
 def match_keyword(s, d) -> DataFrame:
-    kw = M.keyword_matches(grants(s, d), profiles(s, d), QUERY_CONFIG).withColumn("match_type", F.lit("keyword")).withColumn("similarity_score", F.lit(0.0))
+    kw = M.KeywordPass(grants(s, d), profiles(s, d), QUERY_CONFIG).scores().withColumn("match_type", F.lit("keyword")).withColumn("similarity_score", F.lit(0.0))
     best = M.top_per_grant(M.strong(kw, QUERY_CONFIG), QUERY_CONFIG.max_matches)
-    return best.select(F.col("id").alias("grant_id"), F.col("name").alias("faculty_name"), F.size("matched_keywords").cast("long").alias("n_keywords"), F.col("confidence_score").cast("long").alias("confidence"))
+    return best.select(F.col("id").alias("grant_id"), F.col("name").alias("faculty_name"), "n_keywords", F.col("confidence_score").cast("long").alias("confidence"))
 
 
 def keyword_join(s, d):
@@ -51,7 +51,7 @@ def semantic_distribution(s, d):
 
 
 def merge_full(s, d):
-    kw = kept(M.keyword_matches(grants(s, d), profiles(s, d), QUERY_CONFIG))
+    kw = kept(M.KeywordPass(grants(s, d), profiles(s, d), QUERY_CONFIG).scores())
     sem = M.semantic_matches(A.grant_vectors(s, d), profiles(s, d), QUERY_CONFIG.semantic_threshold)
     return M.merged(kw, sem, full=True).groupBy("match_type").agg(F.count("*").alias("n"), F.sum("confidence_score").cast("long").alias("conf"), F.sum("match_score").cast("long").alias("score"))
 
@@ -230,8 +230,8 @@ QUERIES = {
     "confidence_quintiles": lambda s, d: conf_cast(V.confidence_quintiles(matches(s, d))),
     "digest": lambda s, d: conf_cast(V.digest(matches(s, d))),
     "digest_agencies": lambda s, d: V.digest_agencies(matches(s, d)),
-    "export_matches": lambda s, d: conf_cast(V.export_matches(matches(s, d), search="fac-1").select("grant_id", "faculty_name", "matched_keywords", "match_type", "confidence_score")),
-    "export_faculty": lambda s, d: conf_cast(V.export_faculty(profiles(s, d), matches(s, d)).drop("department", "email", "url")),
+    "export_matches": lambda s, d: conf_cast(V.export_matches(matches(s, d), search="fac-1")),
+    "export_faculty": lambda s, d: conf_cast(V.export_faculty(profiles(s, d), matches(s, d))),
     "customer_page": customer_page,
     "confidence_histogram": lambda s, d: D.confidence_histogram(matches(s, d), ["match_type"]),
     "position_stats": lambda s, d: conf_cast(D.position_stats(matches(s, d), F.col("confidence_score").cast("long"), ["match_type"])),

@@ -30,8 +30,3 @@ def feed_grants(feeds: DataFrame, source: str, agency: str = "", key: str = "url
         T.surrogate_key(F.lit(source), title, F.col("link")).alias("id"), F.lit(source).alias("source"), "title", F.lit(agency or source).alias("agency"), "link", about.alias("synopsis"),
         F.col("pub_date").alias("open_date"), F.lower(F.concat_ws(" ", title, about, F.lit(agency or source))).alias("searchable_text"),
     )
-
-
-def first_with_items(frames: list[DataFrame]) -> DataFrame:
-    """The first of several feeds of a source that has items, else the last."""
-    return next((f for f in frames[:-1] if not f.isEmpty()), frames[-1])

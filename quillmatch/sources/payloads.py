@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+from urllib.parse import urlencode
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,36 @@ def search_payload(rows: int = 100, statuses: tuple[str, ...] = ("posted", "fore
     return {"keyword": keyword, "oppStatuses": "|".join(statuses), "rows": rows, "oppAge": 2, "sortBy": "openDate|desc"}
 
 
+def reporter_payload(as_of: str, rows: int = 100, days: int = 30, offset: int = 0) -> dict:
+    """The body of a search for projects that began in the last days."""
+    first = (date.fromisoformat(as_of) - timedelta(days=days)).isoformat()
+    return {"criteria": {"project_start_date": {"from_date": first, "to_date": as_of}, "include_active_projects": True}, "limit": rows, "offset": offset, "sort_field": "project_start_date", "sort_order": "desc"}
+
+
+def federal_query(as_of: str, rows: int = 100, days: int = 30) -> str:
+    """The query string of a search for projects of the last days."""
+    first = date.fromisoformat(as_of) - timedelta(days=days)
+    return urlencode({"query": f"budgetStartDate:[{first} TO {as_of}]", "offset": 1, "limit": rows})
+
+
+def api_requests(main: str = "", reporter: str = "", federal: str = "", as_of: str = "", rows: int = 100) -> list[dict]:
+    """Requests for ``connectors.fetch`` to the APIs whose addresses are given."""
+    found = [{"source": "main", "url": main, "body": search_payload(rows)}] if main else []
+    found += [{"source": "reporter", "url": reporter, "body": reporter_payload(as_of, rows)}] if reporter else []
+    return found + ([{"source": "federal", "url": f"{federal}?{federal_query(as_of, rows)}"}] if federal else [])
+
+
+def api_grants(answers: DataFrame) -> DataFrame:
+    """Opportunities of all APIs from fetched answers (source, status, body); an API that failed gives none."""
+    good = answers.where("status = 200")
+    made = {"main": main_grants, "reporter": reporter_grants, "federal": federal_grants}
+    out = None
+    for name, make in made.items():
+        rows = make(good.where(F.col("source") == name)).withColumn("source", F.lit(name))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
 def hits(payload: Column) -> Column:
     """The list of opportunities in a payload: ``data.oppHits``, or of a list ``data`` the first inner list whose first item has an id."""
     normal = F.from_json(payload, f"struct<data:struct<oppHits:array<{HIT}>>>")["data"]["oppHits"]
@@ -86,9 +119,10 @@ COMMON_MESH = (
 )
 # Words of abstracts that name no topic.
 ABSTRACT_STOPS = (
-    "with that this from have been they their which will also more than when some into other were after about these both such project "
-    "study studies using used based results data patients clinical treatment university maryland grant funding supported"
-).split()
+    "with", "that", "this", "from", "have", "been", "they", "their", "which", "will", "also", "more", "than", "when", "some", "into",
+    "other", "were", "after", "about", "these", "both", "such", "project", "study", "studies", "using", "used", "based", "results",
+    "data", "patients", "clinical", "treatment", "university", "maryland", "grant", "funding", "supported",
+)
 
 
 def topical(terms: Column, most: int) -> Column:
@@ -97,9 +131,9 @@ def topical(terms: Column, most: int) -> Column:
 
 
 def article_terms(xml: Column, most: int = 60) -> Column:
-    """Descriptors, then author keywords of over three characters, of an article set in XML."""
-    words = F.filter(F.transform(F.xpath(xml, F.lit("//Keyword/text()")), lambda x: F.trim(x)), lambda x: F.length(x) > 3)
-    return topical(F.concat(F.xpath(xml, F.lit("//DescriptorName/text()")), words), most)
+    """Descriptors, then author keywords, each of over three characters, of an article set in XML."""
+    every = F.concat(F.xpath(xml, F.lit("//DescriptorName/text()")), F.xpath(xml, F.lit("//Keyword/text()")))
+    return topical(F.filter(F.transform(every, lambda x: F.trim(x)), lambda x: F.length(x) > 3), most)
 
 
 def project_terms(terms: Column, abstract: Column, most: int = 60, few: int = 20) -> Column:

@@ -34,16 +34,21 @@ HEALTH = "source string, consecutive_zeros long, total_found long, alert boolean
 def health(stream: DataFrame) -> DataFrame:
     """State of each source from (source, run, found): zeros since the last success, total, and the alert at three.
 
-    Runs of a batch are taken in their order; errors, found below 0, change nothing.
+    Runs of a batch count in their order, in whatever order they come; errors, found below 0, change nothing. Of a batch only the runs
+    without success since its last one are in memory at a time.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         zeros, total = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(frames)).sort_values("run")
-        for found in rows["found"]:
-            if found >= 0:
-                zeros = 0 if found > 0 else zeros + 1
-                total += int(found)
+        won, since = None, []
+        for f in frames:
+            total += int(f["found"].clip(lower=0).sum())
+            wins = f["run"][f["found"] > 0]
+            if len(wins) and (won is None or wins.max() > won):
+                won = wins.max()
+                since = [r for r in since if r > won]
+            since += [r for r in f["run"][f["found"] == 0] if won is None or r > won]
+        zeros = len(since) + (zeros if won is None else 0)
         state.update((zeros, total))
         yield pd.DataFrame({"source": [key[0]], "consecutive_zeros": [zeros], "total_found": [total], "alert": [zeros >= 3]})
 

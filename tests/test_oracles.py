@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import pytest
 
-from quillmatch.plans import io_queries
+from quillmatch.plans import io_queries, more_queries
 from quillmatch.plans.oracles import ORACLE_SQL
 from quillmatch.plans.queries import QUERIES
 from tests.conftest import DATA, rows_of
 
-SQL = ORACLE_SQL | io_queries.oracles()
-ALL = QUERIES | io_queries.QUERIES
+SQL = ORACLE_SQL | io_queries.oracles() | more_queries.oracles()
+ALL = QUERIES | io_queries.QUERIES | more_queries.QUERIES
 
 
 def test_each_sql_has_a_query():

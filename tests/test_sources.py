@@ -22,9 +22,9 @@ def test_bad_html_is_no_error(spark):
 
 
 def test_directory_lines(spark):
-    p = spark.createDataFrame([(1, "<p>a@b.org</p><p>Jane Roe, MD</p><p>Keywords: gene therapy, lung</p><p>Jim Poe, PhD</p><p>Keywords: brain</p>")], "page int, html string")
+    p = spark.createDataFrame([(1, "<p>a@b.edu</p><p>Jane Roe, MD</p><p>Keywords: gene therapy, lung</p><p>Jim Poe, PhD</p><p>Keywords: brain</p>")], "page int, html string")
     got = sorted(html.directory(html.lines(p), "page").collect())
-    assert [(r.name, r.email, r.keywords) for r in got] == [("Jane Roe, MD", "a@b.org", ["gene therapy", "lung"]), ("Jim Poe, PhD", "", ["brain"])]
+    assert [(r.name, r.email, r.keywords) for r in got] == [("Jane Roe, MD", "a@b.edu", ["gene therapy", "lung"]), ("Jim Poe, PhD", "", ["brain"])]
 
 
 def test_profile_strategies(spark):
@@ -124,3 +124,66 @@ def test_stream_days_equal_batch(spark, tmp_path):
     C.cycle(C.daily(e), lambda b, n: rows.update({(r.day, r.event_type): r.n for r in b.collect()}), str(tmp_path / "state"), mode="update").awaitTermination()
     want = table(spark, DATA, "events").groupBy(F.date_format("ts", "yyyy-MM-dd"), "event_type").count().collect()
     assert rows == {(r[0], r[1]): r[2] for r in want}
+
+
+def test_a_table_half_replaced_is_put_in_place(spark, tmp_path):
+    path = str(tmp_path / "t")
+    files.replace(spark.range(3), path)
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    spark.range(5).write.parquet(f"{path}.new")
+    assert files.read_or_empty(spark, path, "id long").count() == 5
+    files.replace(spark.range(2), path)
+    assert files.read_or_empty(spark, path, "id long").count() == 2 and not (tmp_path / "t.old").exists()
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    assert files.read_or_empty(spark, path, "id long").count() == 2
+
+
+def test_requests_of_sources(spark):
+    from quillmatch.sources import registry
+
+    asked = registry.requests(registry.sources(spark, include=["nsf_funding", "hhmi"]))
+    assert [r["source"] for r in asked] == ["nsf_funding", "nsf_funding", "hhmi"]
+    assert registry.sources(spark, exclude=["hhmi"]).count() == len(registry.SOURCES) - 1 == 30
+    api = payloads.api_requests("https://m/", "https://r/", "https://f/", "2024-01-30")
+    assert [r["source"] for r in api] == ["main", "reporter", "federal"] and api[1]["body"]["criteria"]["project_start_date"]["from_date"] == "2023-12-31" and "2023-12-31" in api[2]["url"]
+
+
+def test_second_probe_where_the_first_has_no_links(spark):
+    p = spark.createDataFrame([(1, "<p>x</p>"), (2, "<a href='/grant'>x</a>"), (3, None)], "page_id int, html string")
+    other = spark.createDataFrame([(1, "<a href='/award/1'>x</a>"), (2, "<p/>")], "page_id int, html string")
+    got = {r.page_id: (r.links, r.hits) for r in html.probe_again(html.probe(p, patterns=["grant"]), html.probe(other, patterns=["award"])).collect()}
+    assert got == {1: (1, [1]), 2: (1, [1]), 3: (0, [0])}
+
+
+def test_scripts_are_not_visible(spark):
+    p = spark.createDataFrame([(1, "<script>" + "x" * 900 + "</script><style>y</style><p>few</p>")], "page_id int, html string")
+    assert html.probe(p).first().visible == 3
+
+
+def test_health_state_does_not_mind_the_order_of_chunks():
+    import pandas as pd
+
+    class State:
+        exists, get = True, (2, 5)
+
+        def update(self, x):
+            self.now = x
+
+    captured = {}
+
+    class Stream:
+        def groupBy(self, *_):
+            return self
+
+        def applyInPandasWithState(self, step, *_):
+            captured["step"] = step
+
+    C.health(Stream())
+    rows = pd.DataFrame({"run": list("abcdef"), "found": [0, 3, 0, -1, 0, 0]})
+    for parts in ([rows], [rows[3:], rows[:3]], [rows[i : i + 1] for i in (5, 1, 0, 4, 3, 2)]):
+        state = State()
+        out = list(captured["step"](("s",), iter(parts), state))
+        assert state.now == (3, 8) and bool(out[0]["alert"][0])
+    state = State()
+    list(captured["step"](("s",), iter([rows[:1]]), state))
+    assert state.now == (3, 5)
