@@ -53,7 +53,8 @@ def money(c: Column) -> Column:
 
 def money_label(c: Column) -> Column:
     v = money(c)
-    return F.when(v >= 1_000_000, F.concat(F.lit("$"), F.format_number(v / 1_000_000, 1), F.lit("M"))).when(v > 0, F.concat(F.lit("$"), F.format_number(F.rint(v / 1000), 0), F.lit("K")))
+    millions = F.replace(F.format_number(v / 1_000_000, 1), F.lit(","), F.lit(""))
+    return F.when(v >= 1_000_000, F.concat(F.lit("$"), millions, F.lit("M"))).when(v > 0, F.concat(F.lit("$"), F.rint(v / 1000).cast("long").cast("string"), F.lit("K")))
 
 
 AWARD_BANDS = ((100_000, "<100K"), (500_000, "100K-500K"), (1_000_000, "500K-1M"), (5_000_000, "1M-5M"))

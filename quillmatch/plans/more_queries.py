@@ -360,9 +360,9 @@ SELECT '2024-01-30' AS run_date, count(*) AS total, count(DISTINCT faculty_name)
         "dates_and_money": """WITH o AS (SELECT o_orderkey, DATE '2024-01-01' + (o_orderkey % 60)::INT AS day, floor(o_totalprice * 10)::BIGINT AS v FROM orders)
 SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN strftime(day, '%Y-%m-%d') END AS closes, CASE WHEN day < DATE '2024-01-30' THEN 'overdue' WHEN day < DATE '2024-02-13' THEN 'soon' ELSE 'ok' END AS urgency,
  CASE WHEN v >= 1000000 THEN '$' || printf('%.1f', round_even(v / 1000000.0, 1)) || 'M' WHEN v > 0 THEN '$' || round_even(v / 1000.0, 0)::BIGINT || 'K' END AS label FROM o""",
-        "ages": f"""WITH e AS (SELECT event_id, epoch(TIMESTAMP '{NOW}')::BIGINT - floor(epoch(ts))::BIGINT AS s FROM events), x AS (SELECT *, 168 * 3600 - s AS left FROM e)
+        "ages": f"""WITH e AS (SELECT event_id, epoch(TIMESTAMP '{NOW}')::BIGINT - floor(epoch(ts))::BIGINT AS s FROM events), x AS (SELECT *, 168 * 3600 - s AS rest FROM e)
 SELECT event_id, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN s // 60 || 'm' WHEN s < 86400 THEN s // 3600 || 'h' ELSE s // 86400 || 'd' END || ' ago' AS ago,
- CASE WHEN left <= 0 THEN 'overdue' WHEN left < 60 THEN left || 's' WHEN left < 3600 THEN left // 60 || 'm' ELSE left // 3600 || 'h ' || left % 3600 // 60 || 'm' END AS next FROM x""",
+ CASE WHEN rest <= 0 THEN 'overdue' WHEN rest < 60 THEN rest || 's' WHEN rest < 3600 THEN rest // 60 || 'm' ELSE rest // 3600 || 'h ' || rest % 3600 // 60 || 'm' END AS next FROM x""",
         "health_scores": """WITH x AS (SELECT event_id, user_id % 101 AS kw, user_id * 7 % 101 AS emb, CASE WHEN user_id % 9 > 0 THEN user_id % 60 END AS run, CASE WHEN user_id % 11 > 0 THEN user_id * 5 % 300 END AS scrape, event_id % 20 AS err FROM events)
 SELECT event_id, greatest(0, CASE WHEN kw >= 80 THEN 25 WHEN kw >= 50 THEN 15 ELSE 5 END + CASE WHEN emb >= 90 THEN 25 WHEN emb >= 50 THEN 15 WHEN emb > 0 THEN 8 ELSE 0 END + CASE WHEN run < 26 THEN 25 WHEN run < 50 THEN 15 ELSE 0 END
  + CASE WHEN scrape < 170 THEN 25 WHEN scrape < 220 THEN 15 ELSE 0 END - CASE WHEN err > 10 THEN 15 ELSE 0 END)::BIGINT AS score FROM x""",
@@ -384,8 +384,8 @@ SELECT url, who || ', MD' AS name, 'Dept ' || k AS department, 'a' || k || '@b.e
 UNION ALL SELECT url, who || ', MD', 'Dept ' || k, '', 'more' || k, '' FROM x UNION ALL SELECT url, other, 'Dept ' || k, 'c@d.edu', '', 'https://x.edu/p/' || k FROM x""",
         "profile_pages": """SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'interests' WHEN 1 THEN 'keywords' ELSE 'page' END AS strategy, CASE n_nationkey % 3 WHEN 0 THEN 'gene therapy ' || n_nationkey || '|lung cancer' WHEN 1 THEN 'brain ' || n_nationkey || '|bone' ELSE 'cardiac|tissue|cardiac tissue' END AS keywords FROM nation""",
         "page_links": f"""WITH l AS ({links}) SELECT page_id, pos::BIGINT AS pos, regexp_extract(a, '(?is)href="([^"]*)"', 1) AS href, md5(trim(regexp_replace(regexp_replace(regexp_extract(a, '(?is)^<a[^>]*>(.*)</a>$', 1), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g'))) AS title FROM l""",
-        "enrichment": """SELECT p_partkey, array_to_string(list_filter([lower(p_type), lower(p_brand)], lambda x: length(x) > 3), '|') AS article, array_to_string(list_distinct_ordered, '|') AS project, p_type || '|' || p_name AS orcid, CASE WHEN p_size % 2 = 0 THEN p_type || '|' || p_name ELSE '' END AS trial, CASE WHEN p_size % 2 = 0 THEN lower(p_type) || '|' || lower(p_name) ELSE '' END AS europe
-FROM (SELECT *, list_filter([lower(p_type), lower(p_brand), 'alpha', 'beta'] || string_split(p_name, ' '), lambda x: length(x) > 3) AS list_distinct_ordered FROM part)""",
+        "enrichment": """SELECT p_partkey, array_to_string(list_filter([lower(p_type), lower(p_brand)], lambda x: length(x) > 3), '|') AS article, array_to_string(list_filter(words, lambda x, i: list_position(words, x) = i), '|') AS project, p_type || '|' || p_name AS orcid, CASE WHEN p_size % 2 = 0 THEN p_type || '|' || p_name ELSE '' END AS trial, CASE WHEN p_size % 2 = 0 THEN lower(p_type) || '|' || lower(p_name) ELSE '' END AS europe
+FROM (SELECT *, list_filter([lower(p_type), lower(p_brand), 'alpha', 'beta'] || string_split(p_name, ' '), lambda x: length(x) > 3) AS words FROM part)""",
         "paper_fields": """WITH x AS (SELECT p_partkey % 20 AS author, p_type AS field FROM part WHERE p_size > 10 UNION ALL SELECT p_partkey % 20, p_brand FROM part WHERE p_size > 10), c AS (SELECT author, field, count(*) AS n FROM x GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY author ORDER BY n DESC, field) AS k FROM c) SELECT author, string_agg(field, '|' ORDER BY k) AS fields FROM r WHERE k <= 3 GROUP BY 1""",
         "union_of_sources": "SELECT 'n' AS source_key, count(n_name) AS named, sum(n_nationkey)::BIGINT AS ids, count(*) AS n FROM nation UNION ALL SELECT 'r', 0, sum(r_regionkey)::BIGINT, count(*) FROM region",

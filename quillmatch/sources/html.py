@@ -297,7 +297,7 @@ def department_profiles(pages: DataFrame, page: str, suffix: str = "", base: str
     """
     heads = facts(pages.select(page, "html")).select(page, F.trim(F.replace("h1", F.lit(suffix), F.lit(""))).alias("department")) if suffix else facts(pages.select(page, "html")).select(page, F.col("h1").alias("department"))
     told = directory(lines(pages.select(page, "html")), page)
-    linked = profile_links(pages.select(page, base, "html"), base=base).withColumn("_who", F.lower("name"))
+    linked = profile_links(pages.select(*dict.fromkeys((page, base)), "html"), base=base).withColumn("_who", F.lower("name"))
     linked = linked.groupBy(page, "_who").agg(F.min_by(F.struct("pos", "name", "email", "link"), "pos").alias("x")).select(page, "_who", "x.*")
     told = told.withColumn("_who", F.lower(F.trim(F.substring_index("name", ",", 1))))
     mine = told.join(linked.select(page, "_who", F.col("link").alias("profile_url")), [page, "_who"], "left")
