@@ -52,8 +52,9 @@ def money(c: Column) -> Column:
 
 
 def money_label(c: Column) -> Column:
+    """Millions with one decimal, else thousands; halves rounded to even, as the sum's own digits say and not those of a quotient."""
     v = money(c)
-    millions = F.replace(F.format_number(v / 1_000_000, 1), F.lit(","), F.lit(""))
+    millions = F.replace(F.format_number(F.rint(v / 100_000) / 10, 1), F.lit(","), F.lit(""))
     return F.when(v >= 1_000_000, F.concat(F.lit("$"), millions, F.lit("M"))).when(v > 0, F.concat(F.lit("$"), F.rint(v / 1000).cast("long").cast("string"), F.lit("K")))
 
 

@@ -146,3 +146,11 @@ def test_logs_and_rules(spark):
 def test_config_from_the_environment():
     c = Config().with_env({"QUILLMATCH_RECIPIENTS": "a@x, ,b@x", "QUILLMATCH_MIN_CONFIDENCE": "40"})
     assert c.recipients == ("a@x", "b@x") and c.min_confidence == 40
+
+
+def test_labels_of_halves_are_those_of_the_sql(spark, duck):
+    """Millions that lie between two tenths, and thousands between two: 2,150,000 is no 2.1499 millions."""
+    sums = ", ".join(f"({v})" for v in [*range(50_000, 20_000_000, 100_000), *range(500, 1_000_000, 7_500), 10**12 + 50_000, 0])
+    want = dict(duck.sql(f"SELECT v, CASE WHEN v >= 1000000 THEN '$' || printf('%.1f', round_even(v / 1000000.0, 1)) || 'M' WHEN v > 0 THEN '$' || round_even(v / 1000.0, 0)::BIGINT || 'K' END FROM (VALUES {sums}) AS t(v)").fetchall())
+    got = spark.sql(f"SELECT v FROM VALUES {sums} AS t(v)").select("v", S.money_label(F.col("v").cast("string")).alias("label"))
+    assert {r.v: r.label for r in got.collect()} == want and want[2_150_000] == "$2.2M"
