@@ -24,8 +24,7 @@ def bar(c: str):
 
 
 def match_keyword(s, d) -> DataFrame:
-    kw = M.KeywordPass(grants(s, d), profiles(s, d), QUERY_CONFIG).scores().withColumn("match_type", F.lit("keyword")).withColumn("similarity_score", F.lit(0.0))
-    best = M.top_per_grant(M.strong(kw, QUERY_CONFIG), QUERY_CONFIG.max_matches)
+    best = M.KeywordPass(grants(s, d), kept(profiles(s, d)), QUERY_CONFIG).best()
     return best.select(F.col("id").alias("grant_id"), F.col("name").alias("faculty_name"), "n_keywords", F.col("confidence_score").cast("long").alias("confidence"))
 
 
