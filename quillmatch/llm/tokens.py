@@ -18,14 +18,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import ship, table
+from quillmatch.llm.common import Scratch, ship, table
 
 LIMIT = 4096
 CACHED = 1_000_000
 GROUP_BYTES = 4_000_000
-#: One row in so many, by hash, from which frequent pre-tokens are told; how many a task tells, how many are broadcast, and their most bytes.
-SAMPLE_STEP, TOLD, FREQUENT, LONGEST = 16, 5000, 50_000, 64
-#: Pre-tokens that a task counts at a time; beyond them those seen once are forgotten.
+#: How many frequent pre-tokens are broadcast, and their most bytes.
+FREQUENT, LONGEST = 50_000, 64
+#: Different pre-tokens that a task counts at a time; with more it tells its counts and begins anew.
 COUNTED = 500_000
 BLANK = "▁"
 UNIT = re.compile(rb"\n[^ \n]*| +[^ \n]*")
@@ -131,27 +131,46 @@ def model(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
-def frequent_lengths(docs: DataFrame, text: str, path: str, step: int = SAMPLE_STEP, told: int = TOLD, most: int = FREQUENT) -> Lengths:
-    """Lengths of the corpus's frequent pre-tokens: a cache filled beforehand, so it changes no count.
+def frequencies(docs: DataFrame, text: str = "text", counted: int = COUNTED) -> DataFrame:
+    """(word, n): how often each pre-token of at most ``LONGEST`` bytes stands in all rows.
 
-    Each task counts the pre-tokens of the rows whose text's hash is divisible by ``step`` and tells its ``told`` most frequent ones; these short
-    lists alone are added up, and the ``most`` first of all are broadcast, of ``LONGEST`` bytes at most, some MB whatever
-    the size of the table. Texts stay where they are read.
+    Each task counts the pre-tokens of all its rows and tells its counts when it has more than ``counted`` different ones, and at its end; so no
+    row and no count is left out, and what is shuffled is one number for each pre-token of a task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+
+        def told() -> pa.RecordBatch:
+            words = [w for w in seen if len(w) <= LONGEST]
+            out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(map(seen.__getitem__, words), pa.int64())], names=["word", "n"])
+            seen.clear()
+            return out
+
         for b in batches:
             for t in b.column(0).cast(pa.binary()):
-                seen.update(w for w in pre_tokens(t.as_py() or b"") if len(w) <= LONGEST)
-                if len(seen) > COUNTED:
-                    seen = Counter({w: n for w, n in seen.items() if n > 1} if len(seen) < 2 * COUNTED else dict(seen.most_common(COUNTED // 2)))
-        words = [(w, n) for w, n in seen.most_common(told) if n > 1]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in words], pa.binary()), pa.array([n for _, n in words], pa.int64())], names=["word", "n"])
-
-    rows = docs.select(F.col(text)).where(F.pmod(F.xxhash64(text), F.lit(step)) == 0)
-    counts = rows.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    words = [bytes(r.word) for r in counts.select("word").collect()]
+                seen.update(pre_tokens(t.as_py() or b""))
+                if len(seen) > counted:
+                    yield told()
+        yield told()
+
+    ship(docs.sparkSession)
+    return docs.select(F.col(text)).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_lengths(docs: DataFrame, text: str, path: str, most: int = FREQUENT) -> Lengths:
+    """Lengths of the frequent pre-tokens of all rows, ``most`` at most: a cache filled beforehand, so it changes no count.
+
+    It is broadcast, some MB whatever the size of the table. Of the counts the driver sees how many pre-tokens have each, which
+    tells the least count that all fit with; so no more than these come to it. Texts stay where they are read.
+    """
+    counts = Scratch(docs.sparkSession).keep(frequencies(docs, text), "frequencies")
+    least, fit = None, 0
+    for n, words in counts.groupBy("n").agg(F.count("*")).orderBy(F.desc("n")).toLocalIterator():
+        if (fit := fit + words) > most:
+            break
+        least = n
+    words = [bytes(r.word) for r in counts.where(F.col("n") >= F.lit(least)).select("word").collect()]
     return Lengths(dict(zip(words, loaded_here(path).lengths(words), strict=True)))
 
 
@@ -167,7 +186,7 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
 
     Null texts are empty; an empty text has no bytes and no tokens. Whole texts are counted, whatever their length. Repeated rows
     give repeated rows, an empty table an empty result; other columns are ignored, whatever their names. Rows stay where they
-    are read: no text and no pre-token to look up is shuffled, and only the table of frequent pre-tokens is broadcast.
+    are read: no text and no pre-token to look up is shuffled, only each task's counts, and only the table of frequent pre-tokens is broadcast.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 from math import log2
 
 import numpy as np
@@ -83,6 +84,18 @@ def test_count_query_against_the_library(spark):
     assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in tokens.op8_tokens(spark, DATA).collect()} == want
 
 
+def test_frequencies_are_those_of_all_rows(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    want = Counter(w for r in docs.collect() for w in tokens.pre_tokens((r.text or "").encode()) if len(w) <= tokens.LONGEST)
+    for most in (tokens.COUNTED, 50):
+        assert {bytes(r.word): r.n for r in tokens.frequencies(docs, counted=most).collect()} == want
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    table = tokens.frequent_lengths(docs, "text", path, most=40)
+    least = sorted(want.values(), reverse=True)[40]
+    first = [w for w, n in want.items() if n > least]
+    assert 30 < len(first) <= 40 and [table.get(w) for w in first] == tokens.Counts(path).lengths(first) and len(table.counts) == len(first)
+
+
 def test_count_edge_cases(spark):
     got = tokens.token_counts(frame(spark)).collect()
     assert len(got) == len(ROWS) and [r.n_tokens for r in got if r.doc_id in (1, 2)] == [0, 0]
