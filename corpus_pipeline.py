@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmatch.llm import bpe, exact, mixing, near, quality
+from quillmatch.llm import bpe, exact, mixing, near, quality, simhash
 from quillmatch.llm.common import Scratch, table
 
 
@@ -25,11 +25,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id, null last, of each group of near duplicates: five words, exact similarity of 0.8 or more.
+    """The document with the smallest id, null last, of each group of near duplicates.
 
-    Texts without words are near duplicates of each other. Rows that are equal in id and text stay together. All columns stay.
+    Texts are linked by SimHash, two or fewer differing bits, by the operator of ``simhash``; and, as near copies of some words lie further apart,
+    by exact similarity of 0.8 or more of their shingles of five words. A group is what both kinds of links reach. Texts without words are near duplicates of each other. Rows that are equal in id and text stay together. All columns stay.
     """
-    return near.drop_near_duplicates(docs)
+    scratch = Scratch(spark)
+    prints = scratch.keep(simhash.grouped(docs).select("doc_id", "_row_hash", "root"), "simhash")
+    return near.drop_near_duplicates(docs, grouped=prints)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

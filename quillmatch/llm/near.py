@@ -159,7 +159,7 @@ def close(a: str, b: str, similarity: float):
     return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-6
 
 
-def roots(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def roots(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, grouped: DataFrame | None = None) -> DataFrame:
     """(id, _row_hash, root) for every row: rows have one root if a chain of similar texts links them.
 
     Texts of one set of shingles are one node. Nodes meet in buckets, one for each band. In a round each node is compared with
@@ -167,6 +167,8 @@ def roots(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     copies costs a few comparisons for each and is soon one. Nodes that still share a bucket with one that is not linked to them are
     then compared by their rarest shingles, which finds all pairs among them. So every similar pair that shares a bucket is
     linked, no bucket is cut, and no group is paired within itself.
+
+    Rows of one group in grouped (id, _row_hash, root), as fingerprints link them, are linked from the start, so chains lead through both kinds of links.
     """
     scratch = Scratch(docs.sparkSession)
     prints = scratch.keep(signatures(docs, doc_id, text, words), "prints")
@@ -181,6 +183,15 @@ def roots(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     scratch.drop("keys")
     linked = None
     state = buckets.withColumn("root", F.col("node"))
+    if grouped is not None:
+        known = grouped.select(F.col(doc_id).alias("_id"), F.col("_row_hash").alias("_hash"), F.col("root").alias("_group")).distinct()
+        both = prints.join(known, prints[doc_id].eqNullSafe(known["_id"]) & prints["_row_hash"].eqNullSafe(known["_hash"])).select("node", "_group")
+        both = scratch.keep(both, "grouped")
+        low = scratch.keep(both.groupBy("_group").agg(F.min("node").alias("v"), F.max("node").alias("high")).where("v <> high").select("_group", "v"), "groups")
+        given = scratch.keep(both.join(low, "_group").where("node <> v").select(F.col("node").alias("u"), "v").distinct(), "given")
+        if not given.isEmpty():
+            linked = scratch.keep(more_linked(None, given, scratch, "edges-given"), "linked-given", files)
+            state = scratch.keep(buckets.join(linked, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), "state-given", files)
 
     def link(pairs: DataFrame, name: str) -> bool:
         """Compares the pairs and links the similar ones; if there were any."""
@@ -218,13 +229,13 @@ def first_of_each(docs: DataFrame, found: DataFrame, scratch: Scratch, doc_id: s
     return without_rows(docs, scratch.keep(dropped, "dropped"), scratch, doc_id, text)
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each group of near duplicates: the one with the smallest id, null last, then row hash.
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, grouped: DataFrame | None = None) -> DataFrame:
+    """docs with one row of each group of near duplicates: the one with the smallest id, null last, then row hash. grouped is as for ``roots``.
 
     Rows that are equal in id and text are one document here and stay together; exact deduplication comes before. Null texts
     count as empty, and texts without words are near duplicates of each other. Whole texts are compared, whatever their length. An
     empty table stays empty; all columns stay, whatever their names.
     """
     scratch = Scratch(docs.sparkSession)
-    found = scratch.keep(roots(docs, doc_id, text, words, similarity), "found")
+    found = scratch.keep(roots(docs, doc_id, text, words, similarity, grouped), "found")
     return first_of_each(docs, found, scratch, doc_id, text)

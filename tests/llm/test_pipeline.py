@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from quillmatch.llm import mixing, quality
+from quillmatch.llm import mixing, near, quality, simhash
 from tests.conftest import DATA
 from tests.llm.test_near import firsts
 
@@ -56,6 +56,19 @@ def test_stages_call_the_operators_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "simhash_near_dedup", "source_mixing", "bpe_encoding"]
 
 
+def test_near_dups_are_linked_by_fingerprints_and_by_shingles(spark):
+    """Texts 1 and 2 have one fingerprint and few shingles in common; 2 and 3 have shingles in common and fingerprints far apart."""
+    tails = [" ".join(f"{x}{i}" for i in range(100)) for x in "pqr"]
+    texts = ["a b c " * 600 + tails[0], "a b c " * 600 + tails[1], "a b c a b c a b c " + tails[1], tails[2], None]
+    prints = [simhash.simhash(t) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 2 < (prints[1] ^ prints[2]).bit_count()
+    rows = [(i + 1, t, "s") for i, t in enumerate(texts)] + [(None, texts[3], "s"), (4, texts[3], "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = corpus_pipeline.simhash_near_dedup(spark, docs, DATA)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 4, 5] and kept.columns == docs.columns
+    assert sorted(r.doc_id for r in near.drop_near_duplicates(docs).collect()) == [1, 2, 4, 4, 5]
+
+
 def test_pipeline_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
