@@ -99,10 +99,10 @@ def _state(spark: SparkSession, sf_dir: str) -> tuple:
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The match table of a run, which views read: written to the shared folder once for a session and a state of its tables."""
+    """The match table of a run, which views read: written to the shared folder once for a session and a state of its tables, with a row for each opportunity."""
     key = _state(spark, sf_dir)
     if key not in _kept:
         for old in [k for k in _kept if k[0] != key[0]]:
             del _kept[old]
-        _kept[key] = kept(run_matches(spark, sf_dir))
-    return _kept[key]
+        _kept[key] = kept(matching.match_lists(grants(spark, sf_dir), profiles(spark, sf_dir), grant_vectors(spark, sf_dir), QUERY_CONFIG))
+    return matching.match_rows(_kept[key])
