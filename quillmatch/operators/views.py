@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quillmatch.functions import score as S
 from quillmatch.functions import text as T
+from quillmatch.functions.ship import kept
+from quillmatch.operators import matching
 
 
 def department() -> Column:
@@ -136,6 +138,39 @@ def grant_rollup(matches: DataFrame, as_of: str, legacy_confidence: bool = False
         F.count("*").alias("faculty_count"),
         F.max("confidence_score").alias("stored"),
     )
+    return _rolled_up(g, as_of, legacy_confidence)
+
+
+def rollup_of_lists(lists: DataFrame, as_of: str, legacy_confidence: bool = False) -> DataFrame:
+    """``grant_rollup`` of ``matching.match_lists``: an opportunity's row has all its matches in their order, so none is shuffled.
+
+    Only those whose id is in several rows, or that have no ``pos``, are grouped match by match.
+    """
+    odd = lists.groupBy("id").agg(F.count("*").alias("n"), F.count(matching.newest_first(F.lit(1))).alias("placed")).where("n > 1 or placed < n")
+    odd = kept(odd.select("id"))
+    columns = ("title", "agency", "number", "link", "close_date", "award_ceiling", "synopsis")
+
+    def match(x: Column, i: Column) -> Column:
+        told = (F.get(c, i).alias(f"faculty_{c}") for c in ("department", "email"))
+        return F.struct(matching.newest_first(i + 1).alias("pos"), x.alias("faculty_name"), *told, *(F.get(c, i).alias(c) for c in ("matched_keywords", "match_score", "match_type", "similarity_score", "confidence_score")))
+
+    first = F.struct(*(F.col(c).alias(f"grant_{c}") for c in columns), "timestamp", *(F.get(c, F.lit(0)).alias(c) for c in ("match_score", "match_type", "similarity_score")))
+    g = lists.where("id <> ''").join(odd, "id", "left_anti").select(
+        F.col("id").alias("grant_id"),
+        first.alias("f"),
+        F.transform("name", match).alias("faculty_matches"),
+        F.array_sort(F.array_distinct("match_type")).alias("match_types"),
+        F.sort_array(F.array_distinct(F.flatten("matched_keywords"))).alias("all_keywords"),
+        F.array_max("match_score").alias("max_score"),
+        F.array_max("similarity_score").alias("max_similarity"),
+        F.size("name").cast("long").alias("faculty_count"),
+        F.array_max("confidence_score").alias("stored"),
+    )
+    grouped = grant_rollup(matching.match_rows(lists.join(odd, "id", "left_semi")), as_of, legacy_confidence)
+    return _rolled_up(g, as_of, legacy_confidence).unionByName(grouped)
+
+
+def _rolled_up(g: DataFrame, as_of: str, legacy_confidence: bool) -> DataFrame:
     kw, sim, kind = F.least(F.col("f.match_score") / 10, F.lit(1.0)), F.col("f.similarity_score"), F.col("f.match_type")
     old = F.least(F.rint(F.when(kind == "both", kw * 0.5 + sim * 0.5).when(kind == "semantic", sim).otherwise(kw) * 100), F.lit(99.0)).cast("int")
     return g.select(
@@ -185,8 +220,11 @@ def page_counts(df: DataFrame, per_page: int = 15) -> DataFrame:
 
 
 def grants_view(matches: DataFrame, as_of: str, search: str = "", agency: str = "", match_type: str = "", sort: str = "recent", page: int = 1, per_page: int = 15) -> DataFrame:
-    rows = filter_grants(grant_rollup(matches, as_of), search, agency, match_type)
-    return paged(rows, [*GRANT_SORTS[sort](), F.col("grant_id")], page, per_page)
+    return rollup_view(grant_rollup(matches, as_of), search, agency, match_type, sort, page, per_page)
+
+
+def rollup_view(rollup: DataFrame, search: str = "", agency: str = "", match_type: str = "", sort: str = "recent", page: int = 1, per_page: int = 15) -> DataFrame:
+    return paged(filter_grants(rollup, search, agency, match_type), [*GRANT_SORTS[sort](), F.col("grant_id")], page, per_page)
 
 
 def filter_matches(matches: DataFrame, search: str = "", match_type: str = "", agency: str = "", keywords: bool = True) -> DataFrame:

@@ -98,11 +98,16 @@ def _state(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(out)
 
 
-def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The match table of a run, which views read: written to the shared folder once for a session and a state of its tables, with a row for each opportunity."""
+def match_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matches of a run with a row for each opportunity, written to the shared folder once for a session and a state of its tables."""
     key = _state(spark, sf_dir)
     if key not in _kept:
         for old in [k for k in _kept if k[0] != key[0]]:
             del _kept[old]
         _kept[key] = kept(matching.match_lists(grants(spark, sf_dir), profiles(spark, sf_dir), grant_vectors(spark, sf_dir), QUERY_CONFIG))
-    return matching.match_rows(_kept[key])
+    return _kept[key]
+
+
+def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The match table of a run, which views read: the rows of ``match_lists``."""
+    return matching.match_rows(match_lists(spark, sf_dir))

@@ -75,12 +75,12 @@ def profile_phrases(s, d):
 
 
 def rollup(s, d):
-    g = V.grant_rollup(matches(s, d), AS_OF)
+    g = V.rollup_of_lists(A.match_lists(s, d), AS_OF)
     return g.select("grant_id", "grant_agency", "first_seen", F.array_join("match_types", "|").alias("types"), F.array_join("all_keywords", "|").alias("keywords"), "max_score", "faculty_count", "days_until_close", "award_int", F.col("confidence").cast("long").alias("confidence"), F.get("faculty_matches", F.lit(0))["faculty_name"].alias("first_faculty"))
 
 
 def grants_page(s, d):
-    g = V.grants_view(matches(s, d), AS_OF, search="the", agency="src1", sort="confidence", page=2, per_page=5)
+    g = V.rollup_view(V.rollup_of_lists(A.match_lists(s, d), AS_OF), search="the", agency="src1", sort="confidence", page=2, per_page=5)
     return g.select("grant_id", F.col("confidence").cast("long").alias("confidence"), "faculty_count")
 
 
