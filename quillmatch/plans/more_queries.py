@@ -14,7 +14,7 @@ from quillmatch.operators import matching as M
 from quillmatch.operators import relevance as R
 from quillmatch.operators import report as P
 from quillmatch.operators import views as V
-from quillmatch.plans.adapters import AS_OF, grants, matches, profiles, table
+from quillmatch.plans.adapters import AS_OF, grants, match_lists, matches, profiles, table
 from quillmatch.plans.io_queries import _into, _stream, folder
 from quillmatch.plans.oracles import GRANTS, PM, P as PROFILES_SQL
 from quillmatch.sources import connectors, files, html, payloads, registry
@@ -79,9 +79,9 @@ def page_counts(s, d):
 
 
 def grant_sorts(s, d):
-    out = None
+    out, g = None, V.rollup_of_lists(match_lists(s, d), AS_OF)
     for sort in V.GRANT_SORTS:
-        v = V.grants_view(matches(s, d), AS_OF, sort=sort, per_page=7).select(F.lit(sort).alias("sort"), "grant_id")
+        v = V.rollup_view(g, sort=sort, per_page=7).select(F.lit(sort).alias("sort"), "grant_id")
         out = v if out is None else out.unionByName(v)
     return out
 
