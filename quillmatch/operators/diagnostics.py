@@ -60,8 +60,21 @@ def position_stats(df: DataFrame, value: Column, by: Sequence[str] = ()) -> Data
 
 def matches_per_faculty(matches: DataFrame) -> DataFrame:
     """Number of profiles by their number of matches, in steps of five."""
-    per = matches.groupBy("faculty_name").agg(F.count("*").alias("c"))
-    low = (F.floor(F.col("c") / 5) * 5).cast("long")
+    return profiles_by_count(per_profile(matches))
+
+
+def per_profile(matches: DataFrame) -> DataFrame:
+    return matches.groupBy(F.col("faculty_name").alias("name")).agg(F.count("*").alias("n"))
+
+
+def per_grant(matches: DataFrame) -> DataFrame:
+    """Matches of each opportunity with its title and agency, which then are looked at once and not for each match."""
+    return matches.groupBy("grant_id", "grant_title", "grant_agency").agg(F.count("*").alias("n"))
+
+
+def profiles_by_count(per: DataFrame) -> DataFrame:
+    """``matches_per_faculty`` of ``per_profile``."""
+    low = (F.floor(F.col("n") / 5) * 5).cast("long")
     return per.groupBy(F.concat(low, F.lit("-"), low + 4).alias("bucket")).agg(F.count("*").alias("n"))
 
 
@@ -83,7 +96,15 @@ def violations(matches: DataFrame, semantic: float = 0.72, confidence: float = 0
 
 
 def overview(matches: DataFrame) -> DataFrame:
-    return matches.agg(F.count("*").alias("total_matches"), F.count_distinct("faculty_name").alias("unique_faculty"), F.count_distinct("grant_id").alias("unique_grants"), F.count_if(suspicious(F.col("grant_title"))).alias("suspicious"))
+    return overview_of(per_profile(matches), per_grant(matches))
+
+
+def overview_of(profiles: DataFrame, grants: DataFrame) -> DataFrame:
+    """``overview`` of ``per_profile`` and ``per_grant``."""
+    n = F.col("n")
+    g = grants.agg(F.coalesce(F.sum(n), F.lit(0)).alias("total_matches"), F.count_distinct("grant_id").alias("unique_grants"), F.coalesce(F.sum(F.when(suspicious(F.col("grant_title")), n)), F.lit(0)).alias("suspicious"))
+    one = g.join(F.broadcast(profiles.agg(F.count("name").alias("unique_faculty"))), how="cross")  # one row each
+    return one.select("total_matches", "unique_faculty", "unique_grants", "suspicious")
 
 
 def stale_embeddings(faculty: DataFrame, version: int) -> DataFrame:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from quillmatch.functions import text as T
 from quillmatch.operators import diagnostics as D
 from quillmatch.operators import identity as I
 from quillmatch.operators import relevance as R
+from quillmatch.operators import report as P
 from quillmatch.operators import views as V
 from quillmatch.plans import config as C
 from quillmatch.plans.config import Config
@@ -154,3 +157,14 @@ def test_labels_of_halves_are_those_of_the_sql(spark, duck):
     want = dict(duck.sql(f"SELECT v, CASE WHEN v >= 1000000 THEN '$' || printf('%.1f', round_even(v / 1000000.0, 1)) || 'M' WHEN v > 0 THEN '$' || round_even(v / 1000.0, 0)::BIGINT || 'K' END FROM (VALUES {sums}) AS t(v)").fetchall())
     got = spark.sql(f"SELECT v FROM VALUES {sums} AS t(v)").select("v", S.money_label(F.col("v").cast("string")).alias("label"))
     assert {r.v: r.label for r in got.collect()} == want and want[2_150_000] == "$2.2M"
+
+
+def test_titles_are_looked_at_once_for_each_opportunity(spark, monkeypatch):
+    cols = "faculty_name string, grant_id string, grant_title string, grant_agency string, similarity_score double, confidence_score int, matched_keywords array<string>"
+    rows = [("a", "g", "Login", None, 0.0, 20, ["k"]), ("b", "g", "Login", None, 0.9, 60, []), (None, None, "Home page", "x", 0.0, 30, ["k", "l"]), ("a", "h", None, "x", 0.1, 40, None)]
+    m = spark.createDataFrame(rows, cols)
+    assert D.overview(m).first().asDict() == {"total_matches": 4, "unique_faculty": 2, "unique_grants": 2, "suspicious": 3}
+    assert D.overview(m.limit(0)).first().asDict() == dict.fromkeys(("total_matches", "unique_faculty", "unique_grants", "suspicious"), 0)
+    told = json.loads(P.report(m, "2024-01-30").first().report)
+    assert told["suspicious_titles"] == [{"name": "g: Login", "n": 2}, {"name": "Home page", "n": 1}] and told["by_source"] == [{"name": "Unknown", "n": 2}, {"name": "x", "n": 2}]
+    assert "Expand" not in D.overview(m)._jdf.queryExecution().optimizedPlan().toString()
