@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmatch.functions.ship import kept
 from quillmatch.operators import diagnostics as D
 
 MOST_KEYWORDS, MOST_PROFILES, MOST_TITLES = 30, 20, 10
@@ -24,16 +25,17 @@ def _told(items: Column) -> Column:
 def report(matches: DataFrame, run_date: str, warnings: list[str] = (), semantic: float = 0.72, confidence: float = 0.65) -> DataFrame:
     """(run_date, report, markdown): overview, warnings on settings, quality, distributions, keywords and action items.
 
-    Each part is aggregated to one row by itself; the parts are then joined as single rows. Lists are top-k lists.
+    Each part is aggregated to one row by itself; the parts are then joined as single rows. Lists are top-k lists. What is told of profiles and
+    of opportunities comes from their counts, which are written once.
     """
     stats = matches.agg(*_spread("similarity_score", "similarity"), *_spread("confidence_score", "confidence"))
-    overview, broken = D.overview(matches), D.violations(matches, semantic, confidence)
-    per = matches.groupBy(F.col("faculty_name").alias("name")).agg(F.count("*").alias("n"))
-    odd = matches.where(D.suspicious(F.col("grant_title"))).groupBy(F.concat_ws(": ", "grant_id", "grant_title").alias("name")).agg(F.count("*").alias("n"))
+    per, grants = kept(D.per_profile(matches)), kept(D.per_grant(matches))
+    overview, broken = D.overview_of(per, grants), D.violations(matches, semantic, confidence)
+    odd = grants.where(D.suspicious(F.col("grant_title"))).groupBy(F.concat_ws(": ", "grant_id", "grant_title").alias("name")).agg(F.sum("n").alias("n"))
     parts = [
         stats, overview, broken, per.agg(F.coalesce(F.max("n"), F.lit(0)).alias("top_faculty")),
-        _list(matches.groupBy(F.coalesce("grant_agency", F.lit("Unknown")).alias("name")).agg(F.count("*").alias("n")), "name", "by_source", MOST_PROFILES),
-        _list(D.matches_per_faculty(matches), "bucket", "matches_per_faculty"),
+        _list(grants.groupBy(F.coalesce("grant_agency", F.lit("Unknown")).alias("name")).agg(F.sum("n").alias("n")), "name", "by_source", MOST_PROFILES),
+        _list(D.profiles_by_count(per), "bucket", "matches_per_faculty"),
         _list(per, "name", "top_profiles", MOST_PROFILES),
         _list(D.keyword_frequency(matches, most=MOST_KEYWORDS), "keyword", "top_keywords"),
         _list(odd, "name", "suspicious_titles", MOST_TITLES),
